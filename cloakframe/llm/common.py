@@ -48,3 +48,20 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     kept = keyed.join(keys.select(F.col(keys.columns[0]).alias(name)), name, "left_semi")
     first = Window.partitionBy(name).orderBy(F.lit(0))
     return kept.withColumn("__cf_n", F.row_number().over(first)).where("__cf_n = 1").drop(name, "__cf_n")
+
+
+def store(uri: str):
+    """The file system of ``uri`` and the path in it, for files that executors write to the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def replace_file(uri: str, write) -> None:
+    """``write(stream)`` into a file that takes its place at ``uri`` only when it is whole; a rerun task overwrites it."""
+    files, path = store(uri)
+    files.create_dir(posixpath.dirname(path), recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own, compression=None) as out:
+        write(out)
+    files.move(own, path)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import ann, exact_dedup, line_dedup, mixing, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op3_nearest_neighbours": ann.op3_nearest_neighbours,
         "op4_sharding": sharding.op4_sharding,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op9_warc": warc.op9_warc,
+        "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op7_mixing": mixing.ORACLE,
+        "op9_warc": warc.ORACLE,
+    }
