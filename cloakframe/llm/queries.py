@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, mixing, sharding, simhash, warc
+from . import ann, bpe, exact_dedup, lang_id, line_dedup, mixing, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_bpe": bpe.op2_bpe,
         "op3_nearest_neighbours": ann.op3_nearest_neighbours,
         "op4_sharding": sharding.op4_sharding,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_language_id": lang_id.op6_language_id,
         "op7_mixing": mixing.op7_mixing,
         "op9_warc": warc.op9_warc,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
