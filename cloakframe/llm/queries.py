@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, lang_id, line_dedup, mixing, sharding, simhash, warc
+from . import ann, bpe, exact_dedup, lang_id, line_dedup, mixing, rans, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_language_id": lang_id.op6_language_id,
         "op7_mixing": mixing.op7_mixing,
+        "op8_token_files": rans.op8_token_files,
         "op9_warc": warc.op9_warc,
         "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     }
