@@ -23,6 +23,7 @@ from .common import row_key, shared_dir, written
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside in each
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
