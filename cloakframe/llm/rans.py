@@ -342,7 +342,7 @@ def write_ids(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(docs)], "ids": [sum(n for _, n in docs)]})
 
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "ids")
-    return written(dealt.mapInArrow(write, "part int, file string, docs long, ids long"), "token-files"), freq
+    return written(dealt.mapInArrow(write, "part long, file string, docs long, ids long"), "token-files"), freq
 
 
 def read_ids(files: DataFrame, freq: np.ndarray, id_type: str = "bigint") -> DataFrame:
