@@ -346,12 +346,15 @@ def flatten(body: Column, strict: bool = True) -> Column:
     return each(body)
 
 
-@F.pandas_udf("string")
-def assemble(bodies: pd.Series, fields: pd.Series) -> pd.Series:
-    """Bodies with their fields' new texts: array of (start, end, text)."""
+def _assemble(bodies: pd.Series, fields: pd.Series) -> pd.Series:
     return pd.Series([b if f is None else put_back(b, [(x["start"], x["end"], x["text"]) for x in f]) for b, f in zip(bodies, fields, strict=True)])
 
 
+def assemble(body: Column, fields: Column) -> Column:
+    """Bodies with their fields' new texts: array of (start, end, text)."""
+    return F.pandas_udf(_assemble, "string")(body, fields)
+
+
 def rewrite_bodies(df: DataFrame, id_col: str, body_col: str, rewrite, strict: bool) -> tuple[DataFrame, DataFrame]:
     """(rows with rewritten bodies, rejects). ``rewrite``: from a DataFrame (seg_id, text) to one with the new texts and
     one with the ids that failed."""

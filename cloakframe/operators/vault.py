@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.entities import ENTITIES, LABEL_ONLY, SHAPES, SMALL, placeholder_column
+from ..functions.entities import COUNTED, ENTITIES, LABEL_ONLY, SHAPES, SMALL, placeholder_column
 from .rules import check_engagement
 
 ENTRY = "real string, token string, entity_type string, first_seen timestamp, seq long, generation int, removed boolean"
@@ -77,8 +77,7 @@ class Vault:
 
     def entries(self) -> DataFrame:
         """What restores: of each value the latest generation, unless it was removed."""
-        latest = self.history().groupBy("real").agg(F.max_by(F.struct("token", "entity_type", "first_seen", "seq", "generation", "removed"), F.struct("generation", "removed")).alias("e"))
-        return latest.where("not e.removed").select("real", "e.token", "e.entity_type", "e.first_seen", "e.seq", "e.generation")
+        return latest(self.history())
 
     def spans(self) -> DataFrame:
         """Every placeholder ever handed out: text that holds one is never detected anew."""
@@ -115,29 +114,34 @@ class Vault:
         first = wanted.groupBy("real").agg(F.min_by("entity_type", "place").alias("entity_type"), F.min("place").alias("place"))
         new = first.join(self.entries().select("real"), "real", "left_anti")
         dead = self.history().groupBy("real").agg(F.max("generation").alias("last"))
-        new = new.join(dead, "real", "left").withColumn("generation", F.coalesce(F.col("last") + 1, F.lit(0))).drop("last")
-        minted = self.mint(new)
+        new = new.join(dead, "real", "left").withColumn("generation", F.coalesce(F.col("last") + 1, F.lit(0))).drop("last").persist()
         stamp = F.current_timestamp()
-        self.append(minted.select("real", "token", "entity_type", stamp.alias("first_seen"), "seq", "generation", F.lit(False).alias("removed")), name)
+        kinds = {r["entity_type"]: r["n"] for r in new.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        minted = self.mint(new, kinds)
+        if kinds:
+            self.append(minted.select("real", "token", "entity_type", stamp.alias("first_seen"), "seq", "generation", F.lit(False).alias("removed")), name)
+        new.unpersist()
         return first.select("real").join(self.entries().select("real", "token"), "real")
 
-    def mint(self, new: DataFrame) -> DataFrame:
-        """``new`` (real, entity_type, place, generation) with token and seq. Nothing is written."""
-        new = new.persist()
+    def mint(self, new: DataFrame, kinds: dict[str, int]) -> DataFrame:
+        """``new`` (real, entity_type, place, generation) with token and seq; ``kinds`` counts its entities. Nothing is written."""
+        if set(kinds) - set(ENTITIES):
+            raise ValueError("an entity without a shape")
         taken = self.spans()
-        plain = [e for e in SHAPES if e not in SMALL]
+        plain = [e for e in SHAPES if e not in SMALL and e in kinds]
+        small = [e for e in SMALL if e in kinds]
         shape = F.lit(None).cast("string")
         for e in plain:
             shape = F.when(F.col("entity_type") == e, placeholder_column(e, F.col("real"), self.salt, F.col("generation"))).otherwise(shape)
         out = new.where(F.col("entity_type").isin(*plain)).withColumn("token", shape).withColumn("seq", F.lit(0).cast("long"))
-        left = new.where(F.col("entity_type").isin(*SMALL))
+        left = new.where(F.col("entity_type").isin(*small))
         for attempt in range(TRIES + 1):
-            if left.isEmpty():
+            if not small or left.isEmpty():
                 break
             if attempt == TRIES:
                 raise VaultFull("no free placeholder was found")
             shape = F.lit(None).cast("string")
-            for e in SMALL:
+            for e in small:
                 shape = F.when(F.col("entity_type") == e, placeholder_column(e, F.col("real"), self.salt, F.col("generation"), attempt)).otherwise(shape)
             tried = left.withColumn("token", shape)
             free = tried.join(taken, "token", "left_anti")
@@ -145,18 +149,15 @@ class Vault:
             got = tried.join(won, ["real", "token"]).withColumn("seq", F.lit(attempt).cast("long")).select(*out.columns).persist()
             out, taken = out.unionByName(got), taken.unionByName(got.select("token"))
             left = left.join(got.select("real"), "real", "left_anti")
-        for e in ("ip_network", "ipv6_network"):
-            out = out.unionByName(self._counted(new.where(F.col("entity_type") == e), e).select(*out.columns))
-        unknown = new.where(~F.col("entity_type").isin(*ENTITIES))
-        if not unknown.isEmpty():
-            raise ValueError("an entity without a shape")
+        for e in COUNTED:
+            if e in kinds:
+                out = out.unionByName(self._counted(new.where(F.col("entity_type") == e), e, kinds[e]).select(*out.columns))
         return out
 
-    def _counted(self, new: DataFrame, entity: str) -> DataFrame:
+    def _counted(self, new: DataFrame, entity: str, count: int) -> DataFrame:
         """Networks take the next numbers in the order of their first sight; numbers are never used again."""
         used = self.history().where(F.col("entity_type") == entity).agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
         room = (512 + 65536 * self.extended) if entity == "ip_network" else 1 << 32
-        count = new.count()
         if used + count > room:
             raise VaultFull(f"{entity}: {room} placeholders are all there are")
         n = F.col("seq")  # at most ``room`` rows pass through this window
@@ -170,6 +171,13 @@ class Vault:
         return numbered.withColumn("token", token)
 
 
+def latest(history: DataFrame) -> DataFrame:
+    """Of each value the latest generation, unless it was removed."""
+    entry = F.struct("token", "entity_type", "first_seen", "seq", "generation", "removed")
+    last = history.groupBy("real").agg(F.max_by(entry, F.struct("generation", "removed")).alias("e"))
+    return last.where("not e.removed").select("real", "e.token", "e.entity_type", "e.first_seen", "e.seq", "e.generation")
+
+
 def report(entries: DataFrame) -> DataFrame:
     return entries.rollup("entity_type").agg(F.count(F.lit(1)).alias("n"))
 

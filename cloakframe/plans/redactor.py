@@ -29,7 +29,6 @@ class Tokenized:
     audit: DataFrame
 
 
-@F.pandas_udf(REWRITE)
 def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFrame:
     out, wires = [], []
     for text, found, held in zip(texts, dets, tokens, strict=True):
@@ -45,12 +44,10 @@ def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFra
     return pd.DataFrame({"text": out, "wire": wires})
 
 
-@F.pandas_udf("string")
 def _restore(texts: pd.Series, tokens: pd.Series) -> pd.Series:
     return pd.Series([t if t is None or held is None else formats.restore(t, {x["token"]: x["real"] for x in held}) for t, held in zip(texts, tokens, strict=True)])
 
 
-@F.pandas_udf("array<string>")
 def _candidates(texts: pd.Series) -> pd.Series:
     return pd.Series([formats.candidates(t) if t else [] for t in texts])
 
@@ -91,7 +88,7 @@ class Redactor:
         wanted = wanted.select("h", "place", F.col("x.real").alias("real"), F.col("x.type").alias("entity_type"))
         tokens = self.vault.get_or_create(wanted.select("real", "entity_type", "place"), name)
         held = wanted.select("h", "real").distinct().join(tokens, "real").groupBy("h").agg(F.collect_list(F.struct("real", "token")).alias("tokens"))
-        done = found.join(held, "h", "left").withColumn("new", F.when(F.size("dets") > 0, _rewrite("text", "dets", "tokens")))
+        done = found.join(held, "h", "left").withColumn("new", F.when(F.size("dets") > 0, F.pandas_udf(_rewrite, REWRITE)("text", "dets", "tokens")))
         return done.select("h", "text", "error", F.coalesce("new.text", "text").alias("new_text"), F.coalesce("new.wire", F.array().cast("array<struct<real:string,token:string,entity_type:string,wire_value:string>>")).alias("wire"))
 
     def tokenize(self, df: DataFrame, id_col: str, text_col: str, name: str | None = None) -> Tokenized:
@@ -115,10 +112,10 @@ class Redactor:
     def detokenize(self, df: DataFrame, text_col: str) -> DataFrame:
         """``df`` with the values back in ``text_col``. Candidates are looked up by a join; the vault is never collected."""
         texts = df.select(F.sha2(F.col(text_col), 256).alias("h"), F.col(text_col).alias("t")).where("h is not null").dropDuplicates(["h"])
-        asked = texts.select("h", F.explode(_candidates("t")).alias("token"))
+        asked = texts.select("h", F.explode(F.pandas_udf(_candidates, "array<string>")("t")).alias("token"))
         held = asked.join(self.vault.entries().select("token", "real"), "token").groupBy("h").agg(F.collect_list(F.struct("token", "real")).alias("__held"))
         joined = df.withColumn("__h", F.sha2(F.col(text_col), 256)).join(held, F.col("__h") == F.col("h"), "left")
-        back = F.when(F.col("__held").isNull(), F.col(text_col)).otherwise(_restore(F.col(text_col), F.col("__held")))
+        back = F.when(F.col("__held").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_restore, "string")(F.col(text_col), F.col("__held")))
         return joined.withColumn(text_col, back).select(*df.columns)
 
 
@@ -134,4 +131,4 @@ def register_functions(spark: SparkSession, rules: Rules | None = None) -> None:
         return pd.Series(out)
 
     spark.udf.register("detect", found)
-    spark.udf.register("placeholder_candidates", _candidates)
+    spark.udf.register("placeholder_candidates", F.pandas_udf(_candidates, "array<string>"))

@@ -23,6 +23,7 @@ BUFFERED = ("text", "tool_use", "mcp_tool_use")
 BODY_BYTES = 64 << 20
 OPEN = regex.compile("|".join([*(shape_pattern(e) for e in SHAPES), r"198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}", r"240\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"fd00:c0de:[0-9a-f:]+"]))
 CHUNKS = "stream_id string, index long, seq long, kind string, text string"
+EVENT = "struct<index:long,action:string,kind:string,part:string>"
 STATE = "kind string, held string, over boolean, seq long"
 
 
@@ -86,8 +87,7 @@ def read_event(data: str) -> tuple[int, str, str, str]:
     return -1, "raw", "", data
 
 
-@F.pandas_udf("struct<index:long,action:string,kind:string,part:string>")
-def events(data: pd.Series) -> pd.DataFrame:
+def _events(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_event(d or "") for d in data], columns=["index", "action", "kind", "part"])
 
 
@@ -139,7 +139,7 @@ def rechunk(frames: DataFrame) -> DataFrame:
 
     A stream that says nothing for a minute is closed, and what it held is let out.
     """
-    read = frames.withColumn("e", events("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part")
+    read = frames.withColumn("e", F.pandas_udf(_events, EVENT)("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part")
     return read.groupBy("stream_id").applyInPandasWithState(_blocks, CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
