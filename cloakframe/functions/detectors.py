@@ -321,10 +321,20 @@ def known(text: str, values: dict[str, str]):
                 yield s, e, ((m[0], values[m[0]]),)
 
 
+KNOWN_LENGTH = 6
+
+
+def starts(text: str):
+    """(place, characters from there) of every place at which a stored value could begin to stand alone."""
+    for k in range(len(text) - KNOWN_LENGTH + 1):
+        if not (text[k].isalnum() and k and text[k - 1].isalnum()):
+            yield k, text[k : k + KNOWN_LENGTH]
+
+
 def eligible(value: str) -> bool:
     """Whether a stored value is distinctive enough to be searched for without its label."""
     kinds = {"l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in value}
-    return len(value) >= 6 and len(kinds) >= 2 and not set(value) & set("\n\r")
+    return len(value) >= KNOWN_LENGTH and len(kinds) >= 2 and not set(value) & set("\n\r")
 
 
 def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = frozenset(), block: tuple[str, ...] = (), values: dict[str, str] | None = None, extra: tuple = ()) -> list[Detection]:

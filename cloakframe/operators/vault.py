@@ -134,21 +134,30 @@ class Vault:
         for e in plain:
             shape = F.when(F.col("entity_type") == e, placeholder_column(e, F.col("real"), self.salt, F.col("generation"))).otherwise(shape)
         out = new.where(F.col("entity_type").isin(*plain)).withColumn("token", shape).withColumn("seq", F.lit(0).cast("long"))
-        left = new.where(F.col("entity_type").isin(*small))
-        for attempt in range(TRIES + 1):
-            if not small or left.isEmpty():
-                break
-            if attempt == TRIES:
-                raise VaultFull("no free placeholder was found")
+        waiting, work = sum(kinds[e] for e in small), posixpath.join(self.base, "minting", uuid.uuid4().hex)
+        rounds: list[str] = []
+        schema = "real string, entity_type string, place string, generation int, token string, seq long"
+        asked = new.where(F.col("entity_type").isin(*small)).withColumn("order", F.struct("place", "real"))
+        for attempt in range(TRIES if waiting else 0):
+            # Each round is written, so the next one's plan does not hold those before it.
+            held = self.spark.read.schema(schema).parquet(*rounds) if rounds else self.spark.createDataFrame([], schema)
             shape = F.lit(None).cast("string")
             for e in small:
                 shape = F.when(F.col("entity_type") == e, placeholder_column(e, F.col("real"), self.salt, F.col("generation"), attempt)).otherwise(shape)
-            tried = left.withColumn("token", shape)
-            free = tried.join(taken, "token", "left_anti")
-            won = free.groupBy("token").agg(F.min_by("real", F.struct("place", "real")).alias("real"))
-            got = tried.join(won, ["real", "token"]).withColumn("seq", F.lit(attempt).cast("long")).select(*out.columns).persist()
-            out, taken = out.unionByName(got), taken.unionByName(got.select("token"))
-            left = left.join(got.select("real"), "real", "left_anti")
+            tried = asked.join(held.select("real"), "real", "left_anti").withColumn("token", shape)
+            free = tried.join(taken, "token", "left_anti").join(held.select("token"), "token", "left_anti")
+            won = free.groupBy("token").agg(F.min_by(F.struct("real", "entity_type", "generation"), "order").alias("w"))
+            rounds.append(f"{work}/round={attempt}")
+            got = won.select("w.real", "w.entity_type", F.lit("").alias("place"), "w.generation", "token", F.lit(attempt).cast("long").alias("seq"))
+            got.write.parquet(rounds[-1])
+            waiting -= self.spark.read.schema(schema).parquet(rounds[-1]).count()
+            if not waiting:
+                break
+        if waiting:
+            raise VaultFull("no free placeholder was found")
+        if rounds:
+            minted = self.spark.read.schema(schema).parquet(*rounds).select("real", "token", "seq")
+            out = out.unionByName(new.join(minted, "real").select(*out.columns))
         for e in COUNTED:
             if e in kinds:
                 out = out.unionByName(self._counted(new.where(F.col("entity_type") == e), e, kinds[e]).select(*out.columns))

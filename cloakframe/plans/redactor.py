@@ -29,6 +29,18 @@ class Tokenized:
     audit: DataFrame
 
 
+STARTS = "array<struct<at:int,head:string>>"
+KNOWN = 10_000
+
+
+def _eligible(values: pd.Series) -> pd.Series:
+    return values.map(detectors.eligible)
+
+
+def _starts(texts: pd.Series) -> pd.Series:
+    return pd.Series([[{"at": k, "head": h} for k, h in detectors.starts(t or "")] for t in texts])
+
+
 def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFrame:
     out, wires = [], []
     for text, found, held in zip(texts, dets, tokens, strict=True):
@@ -59,17 +71,39 @@ class Redactor:
         self.spark, self.vault = spark, vault
         self.rules = rules if isinstance(rules, Compiled) else (rules or Rules()).compiled()
 
-    def with_known(self) -> Compiled:
-        """The rules with the stored values that only their labels give away. They are as many as passwords were found, so
-        they come to the driver as the pattern that every task searches with."""
-        rows = self.vault.label_only().select("real", "entity_type").collect()
-        known = tuple(sorted((r["real"], r["entity_type"]) for r in rows if detectors.eligible(r["real"])))
-        r = self.rules
-        return Compiled(r.disabled, r.block, r.allow, r.forced, known)
-
-    def _found(self, texts: DataFrame, rules: Compiled, only_block: bool) -> DataFrame:
+    def with_known(self) -> tuple[Compiled, DataFrame | None]:
+        """The rules with the stored values that only their labels give away, or those values as a DataFrame.
+
+        Up to KNOWN values are one pattern that every task searches with; more of them are found by a join.
+        """
+        values = self.vault.label_only().select("real", "entity_type")
+        rows, r = values.limit(KNOWN + 1).collect(), self.rules
+        if len(rows) > KNOWN:
+            return r, values.where(F.pandas_udf(_eligible, "boolean")("real"))
+        known = tuple(sorted((x["real"], x["entity_type"]) for x in rows if detectors.eligible(x["real"])))
+        return Compiled(r.disabled, r.block, r.allow, r.forced, known), None
+
+    def _known_by_join(self, texts: DataFrame, values: DataFrame) -> DataFrame:
+        """(h, more): detections of stored values, met by the characters they begin with at places where one could stand."""
+        starts = texts.select("h", "text", F.explode(F.pandas_udf(_starts, STARTS)("text")).alias("s")).select("h", "text", "s.*")
+        met = starts.join(values.withColumn("head", F.substring("real", 1, detectors.KNOWN_LENGTH)), "head")
+        end = F.col("at") + F.length("real")
+        same = F.expr("substring(text, at + 1, length(real)) = real")
+        apart = ~(F.col("real").rlike("[\\p{L}\\p{N}]\\z") & F.expr("substring(text, at + length(real) + 1, 1)").rlike("[\\p{L}\\p{N}]"))
+        det = F.struct(
+            F.col("at").alias("start"), end.cast("int").alias("end"), F.lit(1000).alias("det_ord"), F.col("at").alias("seq"),
+            F.array(F.struct("real", F.col("entity_type").alias("type"))).alias("lookups"), F.lit("whole").alias("kind"),
+            F.lit("").alias("before"), F.lit("").alias("after"), F.lit(False).alias("preserve"),
+        )
+        return met.where(same & apart).groupBy("h").agg(F.collect_list(det).alias("more"))
+
+    def _found(self, texts: DataFrame, rules: Compiled, only_block: bool, values: DataFrame | None) -> DataFrame:
         """(h, text, place, dets, error) of distinct texts, after the vetoes and without overlap."""
-        scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "text", "place", "scan.*").persist()
+        scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "text", "place", "scan.*")
+        if values is not None:
+            more = self._known_by_join(texts, values)
+            scanned = scanned.join(more, "h", "left").withColumn("dets", F.when(F.col("more").isNull(), F.col("dets")).otherwise(F.concat("dets", "more"))).drop("more")
+        scanned = scanned.persist()
         marks = scanned.select("h", F.explode("marks").alias("m")).select("h", "m.*").join(self.vault.spans(), "token", "left_semi")
         real = marks.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("held"))
         paths = scanned.select("h", F.explode(F.filter("dets", lambda d: d["preserve"])).alias("d")).select("h", F.explode("d.lookups.real").alias("real"))
@@ -79,9 +113,9 @@ class Redactor:
         dets = resolve.placeholder_veto(resolve.allow_veto(F.col("dets"), rules.allow), F.coalesce("held", none))
         return joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), F.col("known"))).select("h", "text", "place", "dets", "error")
 
-    def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None) -> DataFrame:
+    def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None, values: DataFrame | None = None) -> DataFrame:
         """(h, text, error, new_text, wire)."""
-        found = self._found(texts, rules, only_block).persist()
+        found = self._found(texts, rules, only_block, values).persist()
         wanted = found.select("place", "h", F.explode("dets").alias("d")).select(
             F.struct("place", "h", "d.start", "d.det_ord", "d.seq").alias("place"), "h", F.explode("d.lookups").alias("x")
         )
@@ -93,10 +127,10 @@ class Redactor:
 
     def tokenize(self, df: DataFrame, id_col: str, text_col: str, name: str | None = None) -> Tokenized:
         """``name`` makes a batch repeatable: running it again mints nothing new."""
-        rules = self.with_known()
+        rules, values = self.with_known()
         keyed = df.withColumn("__h", F.sha2(F.col(text_col), 256)).withColumn("__ok", F.col(text_col).isNull() | F.expr(f"is_valid_utf8(`{text_col}`)"))
-        texts = keyed.where("__h is not null and __ok").groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(F.col(id_col).cast("string")).alias("first"), F.min(id_col).alias("place"))
-        done = self._pass(texts.drop("first"), rules, False, name)
+        texts = keyed.where("__h is not null and __ok").groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(id_col).alias("place"))
+        done = self._pass(texts, rules, False, name, values)
         if rules.block:  # the output is scanned again for what operators block
             again = done.where("error is null").select(F.col("h"), F.col("new_text").alias("text"), F.lit(0).alias("place"))
             second = self._pass(again, rules, True, f"{name}-block" if name else None).select("h", F.col("new_text").alias("text2"), F.col("wire").alias("wire2"), F.col("error").alias("error2"))

@@ -19,6 +19,7 @@ from ..functions.entities import SHAPES, shape_pattern
 
 SEPARATORS = " \t\n\r`\"',;()[]{}|"
 HOLD = 128
+IDLE_MS = 60_000
 BUFFERED = ("text", "tool_use", "mcp_tool_use")
 BODY_BYTES = 64 << 20
 OPEN = regex.compile("|".join([*(shape_pattern(e) for e in SHAPES), r"198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}", r"240\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"fd00:c0de:[0-9a-f:]+"]))
@@ -91,7 +92,7 @@ def _events(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_event(d or "") for d in data], columns=["index", "action", "kind", "part"])
 
 
-def _blocks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _blocks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
     """One stream's frames in the order of seq; its open blocks are the state."""
     blocks = json.loads(state.get[1]) if state.exists else {}
     if state.hasTimedOut:
@@ -128,19 +129,23 @@ def _blocks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
         state.remove()
     elif blocks:
         state.update(("", json.dumps(blocks), False, 0))
-        state.setTimeoutDuration(60_000)
+        if timed:
+            state.setTimeoutDuration(IDLE_MS)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["stream_id", "index", "seq", "kind", "text"])
 
 
-def rechunk(frames: DataFrame) -> DataFrame:
+def rechunk(frames: DataFrame, timed: bool = False) -> DataFrame:
     """(stream_id, index, seq, kind, text) from a stream of (stream_id, seq, event, data); state is kept by stream_id.
 
-    A stream that says nothing for a minute is closed, and what it held is let out.
+    ``timed``: a stream that says nothing for IDLE_MS is closed, and what it held is let out. It keeps a query running, so
+    it is not for one that ends with its input.
     """
     read = frames.withColumn("e", F.pandas_udf(_events, EVENT)("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part")
-    return read.groupBy("stream_id").applyInPandasWithState(_blocks, CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return read.groupBy("stream_id").applyInPandasWithState(
+        lambda key, rows, state: _blocks(key, rows, state, timed), CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    )
 
 
 def tokenize_stream(redactor, stream: DataFrame, id_col: str, text_col: str, sink: str, checkpoint: str, watcher=None):
