@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import replace_file, shared_dir, store, written
 
 END = 2
@@ -246,7 +247,8 @@ class LibraryEncoder:
     SPLITS = re.compile("[\x1c-\x1f]")
     OUTSIDE = re.compile("[^\x00-\xff]")
     TAILS = ".,;:!?)"
-    CACHE = 600_000
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
+    CACHE = 900_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -257,6 +259,14 @@ class LibraryEncoder:
         self.library.no_padding()
         self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.model = self.library.model
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Lower-case Latin words are one word to the normaliser and the pre-tokenizer, so the model alone gives their ids."""
+        over, tokenize = str.maketrans(self.letters), self.model.tokenize
+        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in (tokenize(w if w.isascii() else w.translate(over)) for w in words)]
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -275,9 +285,16 @@ class LibraryEncoder:
             cores = {x: x[:-1] for x in new if len(x) > 1 and x[-1] in self.TAILS and "A" <= x[-2] < "\u0100" and x[-2].isalpha()}
             ask = list({cores.get(x, x) for x in new} | {x[-1] for x in cores})
             ask = [x for x in ask if x not in cache]
-            cache.update(zip(ask, self.ask(ask), strict=True))
+            words = [x for x in ask if self.PLAIN.fullmatch(x)]
+            cache.update(zip(words, self.plain(words), strict=True))
+            others = [x for x in ask if x not in cache]
+            cache.update(zip(others, self.ask(others), strict=True))
             cache.update({x: cache[c] + cache[x[-1]] for x, c in cores.items()})
-            found = [list(map(cache.get, p)) if None in f else f for p, f in zip(parts, found, strict=True)]
+            for p, f in zip(parts, found, strict=True):
+                if None in f:
+                    for k, y in enumerate(f):
+                        if y is None:
+                            f[k] = cache[p[k]]
         asked = iter(self.ask([t for t, w in zip(texts, whole, strict=True) if w]))
         return [next(asked) if w else b"".join(f) for w, f in zip(whole, found, strict=True)]
 
@@ -286,16 +303,17 @@ ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(id, ids as little-endian unsigned 32-bit integers, the end id last)."""
+    """(id, ids as little-endian unsigned 16-bit integers, the end id last). Vocabularies over 65,536 ids don't fit."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in ENCODERS:
             ENCODERS[path] = LibraryEncoder(path)
         last = struct.pack("<I", end)
+        short = lambda x: np.frombuffer(x, "<u4").astype("<u2", casting="unsafe").tobytes()
         for batch in batches:
             for s in range(0, len(batch), 200):
                 part = batch.slice(s, 200)
-                ids = [x + last for x in ENCODERS[path].encode([x or "" for x in part.column("text").to_pylist()])]
+                ids = [short(x + last) for x in ENCODERS[path].encode([x or "" for x in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -303,15 +321,14 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def frequencies(rows: DataFrame, size: int) -> np.ndarray:
-    """How often each id below ``size`` occurs in all rows; ``size`` bounds what comes to the driver."""
+    """How often each id (of 16 bits) below ``size`` occurs in all rows; ``size`` bounds what comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=size) if len(x.as_buffer()) > 4 * size else 0
-            small = b"".join(x.as_py() for x in batch.column("ids") if len(x.as_buffer()) <= 4 * size)
-            total += np.bincount(np.frombuffer(small, "<u4"), minlength=size)
+            for s in range(0, len(batch), 256):
+                ids = b"".join(batch.column("ids").slice(s, 256).to_pylist())
+                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
@@ -334,9 +351,9 @@ def write_ids(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             kind = batch.schema.field("id").type
             for doc, x in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(x, "<u4")
+                ids = np.frombuffer(x, "<u2")
                 docs.append((doc, len(ids)))
-                pieces.append(ids.astype(np.uint16) if size <= 1 << 16 else ids)
+                pieces.append(ids)
         if docs:
             replace_file(name, lambda out: write_file(out, own, docs, iter(pieces), kind))
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(docs)], "ids": [sum(n for _, n in docs)]})
