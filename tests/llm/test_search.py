@@ -125,6 +125,26 @@ def test_nearest(spark):
     assert few.count() <= 4
 
 
+@pytest.mark.parametrize("lengths", ["one long", "spread"])
+def test_nearest_of_unequal_lengths(spark, lengths):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 16))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x *= np.exp(r.normal(0, 0.7, (3000, 1))) if lengths == "spread" else 1
+    x[7] *= 100
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # Few tables, so that queries come out short and are answered again.
+    for tables, least in ((ann.TABLES, 0.9), (1, 0)):
+        have = {}
+        for row in ann.nearest(df, lambda i: i % 60 == 0, tables=tables, probes=None if least else 1, cap=500, exact=100).collect():
+            have.setdefault(row.query_id, set()).add(row.vec_id)
+        assert set(have) == set(range(0, 3000, 60)) and all(len(f) == 20 for f in have.values())
+        s = x[::60] @ x.T
+        s[np.arange(50), np.arange(0, 3000, 60)] = -np.inf
+        hit = sum(len(have[60 * q] & set(np.argsort(-s[q])[:20].tolist())) for q in range(50))
+        assert hit / 1000 >= least
+
+
 def language_rows(n=240, seed=1):
     r = random.Random(seed)
     words = {"en": ["the", "and", "with", "think", "where", "ing"], "de": ["der", "und", "nicht", "straße", "über", "ein"], "fr": ["les", "être", "où", "ça", "dans", "avec"]}
