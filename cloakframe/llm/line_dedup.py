@@ -9,6 +9,9 @@ of their lines, and the windows that are not the first of their kind merge into
 Defined cases: a null text has no lines and stays null; an empty text is one empty line. Shorter repeats than RUN lines
 stay, and so do texts shorter than that. Rows that repeat an id and a text stand at the same place and are treated alike.
 A null id orders first. An empty table gives an empty result. Other columns are not read.
+
+``op1_line_dedup`` deletes runs of RUN lines, as its SQL says. ``op1_line_dedup_single`` is the same with runs of one line: every
+later line that holds more than white space goes, in texts of any number of lines; blank lines stay.
 """
 
 from __future__ import annotations
@@ -19,14 +22,23 @@ from pyspark.sql import functions as F
 from .common import written
 
 RUN = 3
+FULL = r"[^ \t\r\f\x0B]"
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, run: int, blank: bool = True) -> DataFrame:
+    """One row per window: place (id, text hash, start), its fingerprint (hash, position), and a 128-bit key of its lines.
+
+    Unless ``blank``, windows of blank lines only are left out.
+    """
 
+    def line(x):
+        hashes = [F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")]
+        return F.struct(*hashes) if blank else F.struct(*hashes, x.rlike(FULL).alias("full"))
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """One row per window: place (id, text hash, start), its fingerprint (hash, position), and a 128-bit key of its lines."""
     hashed = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("th"),
-        F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))).alias("h"),
+        F.transform(F.split(text_col, "\n"), line).alias("h"),
     ).where(F.size("h") >= run)
 
     def window(s):
@@ -40,12 +52,15 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
             F.xxhash64(F.transform(part, lambda x: x["b"])).alias("k2"),
         )
 
-    return hashed.select("id", "th", F.inline(F.transform(F.sequence(F.lit(0), F.size("h") - run), window)))
+    starts = F.sequence(F.lit(0), F.size("h") - run)
+    if not blank:
+        starts = F.filter(starts, lambda s: F.exists(F.slice("h", s + 1, run), lambda x: x["full"]))
+    return hashed.select("id", "th", F.inline(F.transform(starts, window)))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, blank: bool = True) -> DataFrame:
     """(id, th, runs): the maximal runs (begin, end; lines from 0) of a document that repeat an earlier run."""
-    every = written(windows(docs, id_col, text_col, run), "line-windows")
+    every = written(windows(docs, id_col, text_col, run, blank), "line-windows")
     place = F.struct("id", "th", "print_at")
     shared = every.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
     matched = every.join(shared, "print", "left_semi").select("id", "th", "start", "k1", "k2", F.struct("id", "start", "th").alias("at"))
@@ -60,9 +75,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return merged.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, blank: bool = True) -> DataFrame:
     """One row per document: id, text without its later repeated runs, n_lines, removed_lines, runs."""
-    runs = repeated_runs(docs, id_col, text_col, run).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
+    runs = repeated_runs(docs, id_col, text_col, run, blank).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     joined = base.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     lines = F.split("text", "\n")
@@ -99,3 +114,22 @@ k AS (
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents LEFT JOIN k USING (doc_id)
 """
+
+
+def op1_line_dedup_single(spark, sf_dir: str) -> DataFrame:
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), run=1, blank=False)
+    return out.select("doc_id", "n_lines", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+SINGLE_ORACLE = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+f AS (
+  SELECT doc_id, i, line, regexp_matches(line, '[^ \t\r\f\x0B]') AND (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY line) AS later FROM l),
+k AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (later) AS removed_lines,
+         string_agg(line, chr(10) ORDER BY i) FILTER (NOT later) AS kept
+  FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+"""

@@ -8,6 +8,7 @@ from . import ann, bpe, exact_dedup, lang_id, line_dedup, mixing, rans, sharding
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op1_line_dedup_single": line_dedup.op1_line_dedup_single,
         "op2_bpe": bpe.op2_bpe,
         "op3_nearest_neighbours": ann.op3_nearest_neighbours,
         "op4_sharding": sharding.op4_sharding,
@@ -23,6 +24,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE,
+        "op1_line_dedup_single": line_dedup.SINGLE_ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op7_mixing": mixing.ORACLE,
         "op9_warc": warc.ORACLE,

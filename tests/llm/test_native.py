@@ -60,6 +60,22 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_single_lines(spark):
+    rows = odd_rows() + [(3000, "one line", "a"), (3001, "one line", "a"), (3002, "one line\nof two", "a"), (3003, "\n \nnew\n\nof two", "a")]
+    first, want = {}, []
+    places = sorted({((i is not None, i or 0), t) for i, t, _ in rows if t is not None})
+    for i, t in places:
+        for n, x in enumerate(t.split("\n")):
+            first[x] = min(first.get(x, (i, n)), (i, n))
+    for i, t, _ in rows:
+        place = (i is not None, i or 0)
+        stays = [x for n, x in enumerate(t.split("\n")) if not x.strip() or first[x] == (place, n)] if t is not None else None
+        want.append((i, None if t is None else "\n".join(stays), 0 if t is None else t.count("\n") + 1 - len(stays)))
+    got = [(r.doc_id, r.text, r.removed_lines) for r in line_dedup(frame(spark, rows), run=1, blank=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (3001, "", 1) in got and (3003, "\n \nnew\n", 1) in got
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, weak):
     rows = odd_rows(2)
