@@ -4,7 +4,7 @@ A text is read as UTF-8 bytes in fixed-length windows that overlap by the widest
 counts. Bytes are embedded, filters of several widths slide over them, each filter keeps its maximum, and a softmax gives
 the window's language. A text's score is the mean of its windows' probabilities, weighted by their bytes.
 
-Training takes PER_LANGUAGE texts of each language at most (those with the smallest hashes) and PER_TEXT windows of each,
+Training takes PER_LANGUAGE different texts of each language at most (those with the smallest hashes) and PER_TEXT windows of each,
 spread over the whole text; that bound is a parameter of ``train``. Only text and language are read.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, and so is every text if nothing could be
@@ -137,12 +137,12 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> Network:
-    """The network, from at most ``per_language`` texts a language outside the held-out fold."""
+    """The network, from at most ``per_language`` different texts a language outside the held-out fold."""
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    # Copies share a hash; each task passes on its first few of a language only, so no language meets in one task.
-    order = Window.partitionBy("lang").orderBy("h", "n")
-    hashes = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    picked = hashes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "h").distinct()
+    # Copies share a hash and count once; each task passes on its first few of a language only, so no language meets in one task.
+    order = Window.partitionBy("lang").orderBy("h")
+    hashes = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    picked = hashes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "h")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """SimHash groups, nearest neighbours, language ID and the pipeline against brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -165,6 +166,18 @@ def test_language_id(spark):
     assert empty.languages == [] and lang_id.annotate(docs.limit(3), empty).where(F.col(lang_id.PRED) != "und").count() == 0
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    rows = [(k, f"text {k:03d} of many", "en") for k in range(100)]
+    h = {r.text: r.h for r in spark.createDataFrame(rows, "k long, text string, l string").select("text", F.xxhash64("text").alias("h")).collect()}
+    learned = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    first = min(learned, key=lambda x: h[x[1]])
+    copies = [(k, first[1], "en") for k in range(1000, 1200)]  # they come first and fill the sample if each one counts
+    seen = []
+    monkeypatch.setattr(lang_id.Network, "fit", lambda self, windows, truth: seen.extend(w.tobytes().rstrip().decode() for w in windows))
+    lang_id.train(spark.createDataFrame(rows + copies, "doc_id long, text string, lang string"), per_language=20)
+    assert sorted(seen) == sorted(sorted({x[1] for x in learned}, key=h.get)[:20])
+
+
 def test_windows_cover_every_byte():
     for n in (0, 1, 255, 256, 257, 5000):
         data = bytes(k % 251 for k in range(n))
