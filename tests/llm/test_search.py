@@ -146,6 +146,17 @@ def test_nearest_of_unequal_lengths(spark, lengths):
         assert hit / 1000 >= least
 
 
+def test_nearest_of_each_dimension(spark):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(400, 12)), r.normal(size=(30, 5))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(y)] + [(2000, [1.0] * 13)]
+    have = {}
+    for row in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, exact=100).collect():
+        have.setdefault(row.query_id, set()).add(row.vec_id)
+    assert set(have) == {*range(0, 400, 20), 1000, 1020} and all(len(f) == 20 for f in have.values())
+    assert all((q >= 1000) == (v >= 1000) for q, f in have.items() for v in f)
+
+
 def language_rows(n=240, seed=1):
     r = random.Random(seed)
     words = {"en": ["the", "and", "with", "think", "where", "ing"], "de": ["der", "und", "nicht", "straße", "über", "ein"], "fr": ["les", "être", "où", "ça", "dans", "avec"]}
