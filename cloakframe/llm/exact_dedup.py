@@ -1,9 +1,9 @@
 """Exact dedup as a stateful stream.
 
 Rows pass through Structured Streaming once. The state store (RocksDB, on disk, checkpointed to the shared folder) holds
-for each digest the identifier of the row that stays, its content locator and the number of rows; without a watermark it
-never expires. After the stream, the full bytes of each group with a hit are compared, and a digest that two texts share
-is dealt out again by the texts themselves.
+for each digest the identifier of the row that stays, its locator among the staged rows (which tells it from rows of the
+same id) and the number of rows; without a watermark it never expires. After the stream, the full bytes of each group with a
+hit are compared in the source, and the rows of a digest that two texts share are grouped again by the texts themselves.
 
 Defined cases: a null text counts as empty. Of equal texts the row with the largest id stays; null ids come last, and of
 rows that repeat an id and a text exactly one stays (the one staged last). An empty table gives an empty result. Other
@@ -78,7 +78,7 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, and ``row_key`` of the source row.
 
-    ``digest`` may be weaker than SHA-256: groups that only share a digest are told apart by their bytes.
+    ``digest`` may collide, SHA-256 itself too: groups that only share a digest are told apart by their bytes.
     ``batches``: the number of micro-batches that the staged rows are dealt into.
     """
     spark = docs.sparkSession
@@ -114,10 +114,11 @@ def exact_dedup(
         "digest",
     )
     if not clash.isEmpty():
-        # Equal digests of different texts: the digest of the bytes, here with their number, takes its place.
-        again = staged.join(clash, "digest", "left_semi")
-        groups = again.groupBy("text_sha256").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        told = again.join(groups, "text_sha256").select(
+        # Equal digests of different texts: the texts themselves take their place. No digest decides here.
+        again = whole.withColumn("digest", digest(F.col("text"))).join(clash, "digest", "left_semi")
+        again = written(again.withColumn("text_sha256", F.sha2("text", 256)).withColumn("locator", F.monotonically_increasing_id()), "dedup-again")
+        groups = again.groupBy("text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        told = again.join(groups, "text").select(
             "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
             (F.col("locator") == F.col("keep.locator")).alias("kept"), "text_sha256", "row_key", "digest",
         )

@@ -94,6 +94,19 @@ def test_exact_dedup(spark, weak):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_dedup_if_sha256_collides(spark, monkeypatch):
+    rows = odd_rows(2)
+    # One hexadecimal digit in the place of SHA-256, so text_sha256 collides where the digest does.
+    monkeypatch.setattr(F, "sha2", lambda t, bits: F.substring(F.md5(t), 1, 1))
+    got = exact_dedup(frame(spark, rows)).collect()
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[t or ""].append(i)
+    want = [(i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""])) for i, t, _ in rows]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == sorted(want, key=str)
+    assert sum(r.kept for r in got) == len(groups)
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
