@@ -272,7 +272,8 @@ class LibraryEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(self.SPLITS.search(t)) or any(a in t for a in self.added) for t in texts]
+        # An added token in the raw text is special to the library, one in other case is not; lower-casing must not make it one.
+        whole = [bool(self.SPLITS.search(t)) or any(a in t or a in low for a in self.added) for t in texts for low in [t.lower()]]
         # Lower case is the library's next step: within Latin-1 it is the same character by character.
         parts = [[] if w else (t if self.OUTSIDE.search(t) else t.lower()).split() for t, w in zip(texts, whole, strict=True)]
         cache = self.cache

@@ -79,6 +79,13 @@ def test_library_encoder():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+def test_added_tokens_in_other_case():
+    library, encoder = Tokenizer.from_file(rans.production_path()), rans.LibraryEncoder(rans.production_path())
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "É <|STARTOFTEXT|>", "<|endoftext|> <|ENDOFTEXT|>", "ж <|ENDOFTEXT|>"]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 8192, 8193, 32768, 32769, 32768 * 33 + 7])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 49000).astype(np.uint32)
