@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import tempfile
 import uuid
@@ -50,6 +51,27 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return kept.withColumn("__cf_n", F.row_number().over(first)).where("__cf_n = 1").drop(name, "__cf_n")
 
 
+def vocabulary_file(name: str) -> str:
+    """The path of a vocabulary on this machine: ``name`` itself, or that of a public tokenizer's file of that name."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(name))
+
+
+def slices(batch, sizes, limit: int):
+    """``batch`` in runs of rows of at most ``limit`` by ``sizes`` together; a larger row is a run of its own."""
+    import numpy as np
+
+    upto, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(batch):
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def store(uri: str):
     """The file system of ``uri`` and the path in it, for files that executors write to the shared folder."""
     from pyarrow import fs

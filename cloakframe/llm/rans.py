@@ -5,15 +5,16 @@ coded independently; in a block, LANES states take turns over the ids and share
 a block hold the states and the place in the stream, so decoding can begin at any of them; all stretches between
 checkpoints of a file are decoded side by side. Every block has a checksum of its bytes and of its ids.
 
-File: MAGIC, version, header length, header (JSON: counts, table checksum), documents (Arrow stream of id and number of
-ids), blocks, index (one INDEX record a block), index offset and checksum, MAGIC. Numbers are little-endian.
+File: MAGIC, version, header length, header (JSON: table checksum), blocks, documents (Arrow stream of id and number of
+ids), index (one INDEX record a block), TAIL, MAGIC. Numbers are little-endian. A writer passes blocks on as ids come and
+keeps the list of documents and the index only, so a file may be far larger than the memory of its task; a reader holds
+those two and a group of blocks.
 
-Texts are encoded by the tokenizers library, white-space chunk by chunk through a cache: the vocabulary's normaliser and
-pre-tokenizer drop white space, so no word reaches over it. Texts with an added token's string, or with a control
-character that the library doesn't count as white space though Python does, go to the library whole.
+Texts are encoded by the tokenizers library (``LibraryEncoder``); a slice of SLICE bytes of text, or one longer text, is in
+memory at a time. Ids are kept in 16 bits where the vocabulary allows it, in 32 otherwise; one that doesn't fit is an error.
 
 Defined cases: a null text is empty; a document without ids still has its end id. Null ids come first; rows that repeat an
-id follow each other in the order of their ids' bytes. An empty table writes no file. Columns other than id and text are
+id follow each other in the order of their ids' first HEAD bytes. An empty table writes no file. Columns other than id and text are
 not read.
 """
 
@@ -27,21 +28,25 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import replace_file, shared_dir, store, written
+from .common import replace_file, shared_dir, slices, store, vocabulary_file, written
 
 END = 2
 SCALE = 20  # bits of the frequency table's sum
 LANES, BLOCK, STRETCH, GROUP = 32, 1 << 15, 256, 32  # states, ids a block, steps between checkpoints, blocks coded at once
 LOW = np.uint64(1 << 32)
-MAGIC, VERSION = b"RANSTOK1", 1
+MAGIC, VERSION = b"RANSTOK1", 2
+TAIL = struct.Struct("<QQI")  # where the documents and the index begin, and the checksum of both
+SLICE, ROWS, HEAD = 4 << 20, 1 << 14, 8  # bytes of text that are encoded at once, documents that are read at once, bytes of a tie-break
 INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("crc", "<u4"), ("ids_crc", "<u4")])
 
 
@@ -160,76 +165,104 @@ def decode(table: Table, blocks: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.empty(0, np.uint32) for f in found]
 
 
-def write_file(out: io.RawIOBase, table: Table, docs: list[tuple[object, int]], ids: Iterator[np.ndarray], kind: pa.DataType) -> None:
-    """One file of documents (id, number of ids) whose ids come in pieces of any length."""
-    head = json.dumps({"docs": len(docs), "ids": sum(n for _, n in docs), "table": table.crc}).encode()
-    sink = pa.BufferOutputStream()
-    rows = pa.table({"id": pa.array([d for d, _ in docs], kind), "n": pa.array([n for _, n in docs], pa.uint32())})
-    with pa.ipc.new_stream(sink, rows.schema) as w:
-        w.write_table(rows)
-    listed = sink.getvalue().to_pybytes()
-    first = MAGIC + struct.pack("<II", VERSION, len(head)) + head + struct.pack("<I", len(listed)) + listed
-    out.write(first)
-    at, index, held, size = len(first), [], [], 0
-
-    def flush(last: bool) -> None:
-        nonlocal at, held, size
-        every = np.concatenate(held) if held else np.empty(0, np.uint32)
+class Writer:
+    """One file, written as ids come: blocks leave in groups, and only the list of documents and the index are kept."""
+
+    def __init__(self, out: io.RawIOBase, table: Table):
+        self.out, self.table = out, table
+        self.held: list[np.ndarray] = []
+        self.size = self.at = self.ids = 0
+        self.index: list[tuple] = []
+        head = json.dumps({"table": table.crc}).encode()
+        self.put(MAGIC + struct.pack("<II", VERSION, len(head)) + head)
+
+    def put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def feed(self, ids: np.ndarray) -> None:
+        for s in range(0, len(ids), BLOCK * GROUP):
+            part = ids[s : s + BLOCK * GROUP]
+            self.held.append(part)
+            self.size += len(part)
+            if self.size >= BLOCK * GROUP:
+                self.flush(False)
+
+    def flush(self, last: bool) -> None:
+        every = np.concatenate(self.held) if self.held else np.empty(0, np.uint32)
         upto = len(every) if last else len(every) // (BLOCK * GROUP) * BLOCK * GROUP
         for s in range(0, upto, BLOCK * GROUP):
             part = every[s : min(upto, s + BLOCK * GROUP)]
-            for k, data in enumerate(code(table, part)):
+            for k, data in enumerate(code(self.table, part)):
                 own = part[k * BLOCK : (k + 1) * BLOCK]
-                out.write(data)
-                index.append((at, len(data), len(own), zlib.crc32(data), zlib.crc32(own.astype("<u4").tobytes())))
-                at += len(data)
-        held, size = [every[upto:]], len(every) - upto
+                self.index.append((self.at, len(data), len(own), zlib.crc32(data), zlib.crc32(own.astype("<u4").tobytes())))
+                self.put(data)
+        self.held, self.size = [every[upto:]], len(every) - upto
+        self.ids += upto
+
+    def finish(self, docs: pa.Table) -> None:
+        """``docs`` (id, n): the documents whose ids were fed, in order."""
+        self.flush(True)
+        docs_at, sink = self.at, pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as w:
+            w.write_table(docs)
+        listed = sink.getvalue().to_pybytes()
+        self.put(listed)
+        index_at, index = self.at, np.array(self.index, INDEX).tobytes()
+        self.put(index + TAIL.pack(docs_at, index_at, zlib.crc32(index, zlib.crc32(listed))) + MAGIC)
+
+
+def doc_table(ids: pa.Array | pa.ChunkedArray, counts: np.ndarray) -> pa.Table:
+    return pa.table({"id": ids, "n": pa.array(counts, pa.uint32())})
+
 
+def write_file(out: io.RawIOBase, table: Table, docs: list[tuple[object, int]], ids: Iterator[np.ndarray], kind: pa.DataType) -> None:
+    """One file of documents (id, number of ids) whose ids come in pieces of any length."""
+    writer = Writer(out, table)
     for part in ids:
-        held.append(part)
-        size += len(part)
-        if size >= BLOCK * GROUP:
-            flush(False)
-    flush(True)
-    listed = np.array(index, INDEX).tobytes()
-    out.write(listed + struct.pack("<QI", at, zlib.crc32(listed)) + MAGIC)
+        writer.feed(part)
+    writer.finish(doc_table(pa.array([d for d, _ in docs], kind), np.array([n for _, n in docs])))
 
 
-def read_file(data: io.RawIOBase, size: int, table: Table) -> Iterator[tuple[object, np.ndarray]]:
-    """(id, ids) of each document of a file, a group of blocks at a time."""
+def open_file(data: io.RawIOBase, size: int, table: Table) -> tuple[pa.Table, Iterator[np.ndarray]]:
+    """The documents (id, n) of a file, and its ids block by block, a group of blocks read and decoded at a time."""
     data.seek(0)
     first = data.read(16)
     version, n = struct.unpack("<II", first[8:])
     if first[:8] != MAGIC or version != VERSION:
         raise ValueError("not a token file of this version")
-    head = json.loads(data.read(n))
-    if head["table"] != table.crc:
+    if json.loads(data.read(n))["table"] != table.crc:
         raise ValueError("the file was written with another frequency table")
-    rows = pa.ipc.open_stream(data.read(struct.unpack("<I", data.read(4))[0])).read_all()
-    data.seek(size - 20)
-    at, crc = struct.unpack("<QI", data.read(12))
-    data.seek(at)
-    listed = data.read(size - 20 - at)
+    end = size - TAIL.size - len(MAGIC)
+    data.seek(end)
+    docs_at, index_at, crc = TAIL.unpack(data.read(TAIL.size))
+    data.seek(docs_at)
+    listed = data.read(end - docs_at)
     if zlib.crc32(listed) != crc:
-        raise ValueError("the index is damaged")
-    index = np.frombuffer(listed, INDEX)
+        raise ValueError("the list of documents or the index is damaged")
+    index = np.frombuffer(listed, INDEX, offset=index_at - docs_at)
 
-    def groups() -> Iterator[np.ndarray]:
+    def blocks() -> Iterator[np.ndarray]:
         for s in range(0, len(index), GROUP):
-            blocks = []
+            held = []
             for e in index[s : s + GROUP]:
                 data.seek(int(e["offset"]))
                 own = data.read(int(e["bytes"]))
                 if zlib.crc32(own) != e["crc"]:
                     raise ValueError("a block is damaged")
-                blocks.append((own, int(e["ids"])))
-            for ids, e in zip(decode(table, blocks), index[s : s + GROUP], strict=True):
+                held.append((own, int(e["ids"])))
+            for ids, e in zip(decode(table, held), index[s : s + GROUP], strict=True):
                 if zlib.crc32(ids.astype("<u4").tobytes()) != e["ids_crc"]:
                     raise ValueError("a block's ids don't match their checksum")
                 yield ids
 
-    flow, held, used = groups(), np.empty(0, np.uint32), 0
-    for doc, n in zip(rows.column("id").to_pylist(), rows.column("n").to_pylist(), strict=True):
+    return pa.ipc.open_stream(listed[: index_at - docs_at]).read_all(), blocks()
+
+
+def pieces(counts: np.ndarray, flow: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The ids of each document from those of the blocks."""
+    held, used = np.empty(0, np.uint32), 0
+    for n in counts.tolist():
         parts = [held[used : used + n]]
         got = len(parts[0])
         used += got
@@ -238,98 +271,200 @@ def read_file(data: io.RawIOBase, size: int, table: Table) -> Iterator[tuple[obj
             parts.append(held[:used])
             used = len(parts[-1])
             got += used
-        yield doc, np.concatenate(parts)
+        yield parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-class LibraryEncoder:
-    """Ids as the library gives them for whole texts, by white-space chunk through a bounded cache."""
+def read_file(data: io.RawIOBase, size: int, table: Table) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, ids) of each document of a file."""
+    docs, flow = open_file(data, size, table)
+    yield from zip(docs.column("id").to_pylist(), pieces(docs.column("n").to_numpy(), flow), strict=True)
+
+
+def gather(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches (start, count) of ``ids`` one after the other, and where each one of them begins and the last ends."""
+    begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+    return ids[np.repeat(start - begin[:-1], count) + np.arange(begin[-1])], begin
 
-    SPLITS = re.compile("[\x1c-\x1f]")
-    OUTSIDE = re.compile("[^\x00-\xff]")
-    TAILS = ".,;:!?)"
-    PLAIN = re.compile("[a-zß-öø-ÿ]+")
-    CACHE = 900_000
+
+class LibraryEncoder:
+    """Ids as the library gives them for whole texts.
+
+    Vocabularies of a known form (``KNOWN``) drop white space and split words into letters, digits and marks. Their texts
+    are cut at ASCII white space, and each different chunk of a slice of texts goes to the library once. Chunks of letters
+    and marks only are cut further by what that form says, so that their words can be shared among chunks, and go to the
+    library's own model without the normaliser; every word's last id is an end-of-word id, which tells them apart. Texts with
+    an added token's string in any case, and texts for vocabularies of another form, go to the library whole.
+    """
+
+    # The form of vocabulary that allows texts to be cut.
+    KNOWN = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    }
+    LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"  # of Latin-1, in lower case; of ASCII, but the apostrophe
+    OUTSIDE = r"[^\x{00}-\x{FF}]"
+    CACHE = 150_000
+    JOIN = 1000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.model = self.library.model
-        letters = {b: c for c, b in byte_letters().items()}
-        self.letters = {chr(c): "".join(letters[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, vocab, self.ends = spec["model"], self.library.get_vocab(), np.zeros(0, bool)
+        suffix = model.get("end_of_word_suffix")
+        self.known = all(spec[k] == v for k, v in self.KNOWN.items()) and bool(suffix) and not model.get("dropout") and not model.get("ignore_merges")
+        if self.known:
+            self.known = all(c + suffix in vocab for c in byte_letters())  # so no word ends without one
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
+        self.light = Tokenizer(self.library.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
+        """The store: words and chunks, the ids of all of them, and where each one's begin and the last one's end."""
+        self.words, self.store, self.begin = pa.array([""]), np.empty(0, np.uint32), np.zeros(2, np.int64)
+
+    def ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: pa.Array) -> None:
+        """Puts the ids of new words and chunks into the store."""
+        simple = pc.match_substring_regex(words, f"^(?:[{self.LETTERS}]+|[{self.MARKS}]+)$")
+        own, more = words.filter(simple), words.filter(pc.invert(simple))
+        plain, others = own.to_pylist(), more.to_pylist()
+        lines = [" ".join(plain[k : k + self.JOIN]) for k in range(0, len(plain), self.JOIN)]
+        coded = [np.array(x.ids, np.uint32) for x in self.light.encode_batch_fast(lines, add_special_tokens=False)]
+        first = np.concatenate([*coded, np.empty(0, np.uint32)])
+        stops = np.flatnonzero(self.ends[first]) + 1
+        if len(stops) != len(plain):
+            raise ValueError("the vocabulary's words can't be told apart")
+        rest = self.ask(others)
+        at = len(self.store)
+        self.begin = np.concatenate([self.begin, at + stops, at + len(first) + np.cumsum([len(x) for x in rest], dtype=np.int64)])
+        self.store = np.concatenate([self.store, first, *rest])
+        self.words = pa.concat_arrays([self.words, own, more])
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each one's begin and the last one's end)."""
+        texts = pc.fill_null(texts, "")
+        if not self.known:
+            return self.whole(texts.to_pylist())
+        # Lower case is the library's next step: within Latin-1 it is the same character by character.
+        low = pc.if_else(pc.match_substring_regex(texts, self.OUTSIDE), texts, pc.utf8_lower(texts))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)) if self.added else []
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            low = pc.if_else(pa.array(mask), "", low)
+        if len(self.words) > self.CACHE:
+            self.forget()
+        cut = pc.ascii_split_whitespace(low)
+        chunks = cut.values.dictionary_encode()
+        plain = pc.match_substring_regex(chunks.dictionary, f"^[{self.LETTERS}{self.MARKS}]+$")
+        spaced = pc.if_else(plain, pc.replace_substring_regex(chunks.dictionary, f"([{self.MARKS}]+)", r" \1 "), chunks.dictionary)
+        parts = pc.ascii_split_whitespace(spaced)
+        words = parts.values.dictionary_encode()
+        place = pc.index_in(words.dictionary, value_set=self.words)
+        if place.null_count:
+            self.learn(words.dictionary.filter(pc.is_null(place)))
+            place = pc.index_in(words.dictionary, value_set=self.words)
+        place = place.to_numpy()[words.indices.to_numpy()]
+        ids, at = gather(self.store, self.begin[place], self.begin[place + 1] - self.begin[place])
+        at = at[parts.offsets.to_numpy()]  # of each different chunk
+        index = chunks.indices.to_numpy()
+        ids, at = gather(ids, at[index], (at[1:] - at[:-1])[index])
+        at = at[cut.offsets.to_numpy()]
+        if len(odd):
+            found = np.split(ids, at[1:-1])
+            for k, x in zip(odd, self.ask([texts[int(k)].as_py() for k in odd]), strict=True):
+                found[k] = x
+            return joined(found)
+        return ids, at
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return joined(self.ask(texts))
 
-    def plain(self, words: list[str]) -> list[bytes]:
-        """Lower-case Latin words are one word to the normaliser and the pre-tokenizer, so the model alone gives their ids."""
-        over, tokenize = str.maketrans(self.letters), self.model.tokenize
-        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in (tokenize(w if w.isascii() else w.translate(over)) for w in words)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, at = self.column(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, at[1:-1])][: len(texts)]
 
-    def ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # An added token in the raw text is special to the library, one in other case is not; lower-casing must not make it one.
-        whole = [bool(self.SPLITS.search(t)) or any(a in t or a in low for a in self.added) for t in texts for low in [t.lower()]]
-        # Lower case is the library's next step: within Latin-1 it is the same character by character.
-        parts = [[] if w else (t if self.OUTSIDE.search(t) else t.lower()).split() for t, w in zip(texts, whole, strict=True)]
-        cache = self.cache
-        if len(cache) > self.CACHE:
-            cache.clear()
-        found = [list(map(cache.get, p)) for p in parts]
-        new = {x for p, f in zip(parts, found, strict=True) if None in f for x, y in zip(p, f, strict=True) if y is None}
-        if new:
-            # A closing mark after a letter is a word of its own, so most chunks share their word with others.
-            cores = {x: x[:-1] for x in new if len(x) > 1 and x[-1] in self.TAILS and "A" <= x[-2] < "\u0100" and x[-2].isalpha()}
-            ask = list({cores.get(x, x) for x in new} | {x[-1] for x in cores})
-            ask = [x for x in ask if x not in cache]
-            words = [x for x in ask if self.PLAIN.fullmatch(x)]
-            cache.update(zip(words, self.plain(words), strict=True))
-            others = [x for x in ask if x not in cache]
-            cache.update(zip(others, self.ask(others), strict=True))
-            cache.update({x: cache[c] + cache[x[-1]] for x, c in cores.items()})
-            for p, f in zip(parts, found, strict=True):
-                if None in f:
-                    for k, y in enumerate(f):
-                        if y is None:
-                            f[k] = cache[p[k]]
-        asked = iter(self.ask([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(asked) if w else b"".join(f) for w, f in zip(whole, found, strict=True)]
+def joined(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.concatenate([*each, np.empty(0, np.uint32)])
+    return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in each], dtype=np.int64)])
 
 
 ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """(id, ids as little-endian unsigned 16-bit integers, the end id last). Vocabularies over 65,536 ids don't fit."""
+def id_type(size: int) -> np.dtype:
+    """The narrowest unsigned integers that hold all ids below ``size``."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def fitted(ids: np.ndarray, kind: np.dtype) -> np.ndarray:
+    if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+        raise ValueError(f"id {int(ids.max())} doesn't fit into {kind}")
+    return ids.astype(kind)
+
+
+def vocabulary_size(path: str, end: int = END) -> int:
+    with open(vocabulary_file(path), encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), end])
+
+
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, size: int | None = None) -> DataFrame:
+    """(id, ids as little-endian unsigned integers of ``id_type(size)``, the end id last); ``size`` is the vocabulary's."""
+    kind = id_type(size or vocabulary_size(path, end))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in ENCODERS:
-            ENCODERS[path] = LibraryEncoder(path)
-        last = struct.pack("<I", end)
-        short = lambda x: np.frombuffer(x, "<u4").astype("<u2", casting="unsafe").tobytes()
+            ENCODERS[path] = LibraryEncoder(vocabulary_file(path))
+        encoder = ENCODERS[path]
         for batch in batches:
-            for s in range(0, len(batch), 200):
-                part = batch.slice(s, 200)
-                ids = [short(x + last) for x in ENCODERS[path].encode([x or "" for x in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            for part in slices(batch, sizes, SLICE):
+                ids, at = encoder.column(part.column("text"))
+                ids = np.insert(fitted(ids, kind), at[1:], end)
+                at = (at + np.arange(len(at))) * kind.itemsize
+                if at[-1] > np.iinfo(np.int32).max:
+                    raise ValueError("a text has too many ids for one value")
+                column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), column], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
 
 
+def flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column without nulls, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    ids = np.frombuffer(data or b"", kind, (int(at[-1]) - int(at[0])) // kind.itemsize, int(at[0]))
+    return ids, np.diff(at) // kind.itemsize
+
+
 def frequencies(rows: DataFrame, size: int) -> np.ndarray:
-    """How often each id (of 16 bits) below ``size`` occurs in all rows; ``size`` bounds what comes to the driver."""
+    """How often each id below ``size`` occurs in all rows; ``size`` bounds what comes to the driver."""
+    kind = id_type(size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for s in range(0, len(batch), 256):
-                ids = b"".join(batch.column("ids").slice(s, 256).to_pylist())
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=size)
+            ids, _ = flat(batch.column("ids"), kind)
+            for s in range(0, len(ids), 1 << 20):
+                total += np.bincount(ids[s : s + (1 << 20)], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
@@ -343,23 +478,34 @@ def write_ids(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """Files of (id, ids) in ascending order of id, as (part, file, docs, ids), and the frequencies they are coded with."""
     table = Table.scaled(frequencies(rows, size))
     base = shared_dir(rows.sparkSession, "tokens")
-    freq = table.freq.astype(np.int64)
+    freq, kind = table.freq.astype(np.int64), id_type(size)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), Table(freq)
         name = posixpath.join(base, f"part-{part:06d}.rans")
-        docs, pieces, kind = [], [], None
-        for batch in batches:
-            kind = batch.schema.field("id").type
-            for doc, x in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(x, "<u2")
-                docs.append((doc, len(ids)))
-                pieces.append(ids)
-        if docs:
-            replace_file(name, lambda out: write_file(out, own, docs, iter(pieces), kind))
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(docs)], "ids": [sum(n for _, n in docs)]})
-
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "ids")
+        first = next((x for x in batches if len(x)), None)
+        if first is None:
+            return
+        names, counts, total = [], [], 0
+
+        def whole(out) -> None:
+            nonlocal total
+            writer = Writer(out, own)
+            for batch in chain([first], batches):
+                ids, n = flat(batch.column("ids"), kind)
+                writer.feed(ids)
+                # A copy: the batch itself goes.
+                names.append(pa.concat_arrays([batch.column("id"), batch.column("id").slice(0, 0)]))
+                counts.append(n)
+            writer.finish(doc_table(pa.chunked_array(names), np.concatenate(counts)))
+            total = writer.ids
+
+        replace_file(name, whole)
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [sum(map(len, counts))], "ids": [total]})
+
+    # Rows of one id, even with the same ids, need not be in one task: the head of their ids and their places deal them too.
+    keyed = rows.withColumn("head", F.substring("ids", 1, HEAD)).withColumn("row", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange("id", "head", "row").sortWithinPartitions("id", "ids").select("id", "ids")
     return written(dealt.mapInArrow(write, "part long, file string, docs long, ids long"), "token-files"), freq
 
 
@@ -373,28 +519,27 @@ def read_ids(files: DataFrame, freq: np.ndarray, id_type: str = "bigint") -> Dat
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 fs, path = store(name)
-                rows: list[tuple] = []
                 with fs.open_input_file(path) as data:
-                    for doc, ids in read_file(data, data.size(), table):
-                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                        start += len(ids)
-                cols = list(zip(*rows, strict=True))
-                kind = pa.int64() if id_type == "bigint" else pa.string() if id_type == "string" else pa.int32()
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    docs, flow = open_file(data, data.size(), table)
+                    each = pieces(docs.column("n").to_numpy(), flow)
+                    for s in range(0, len(docs), ROWS):
+                        part = docs.slice(s, ROWS).combine_chunks()
+                        n = part.column("n").to_numpy().astype(np.int64)
+                        at = start + np.cumsum(n) - n
+                        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in islice(each, len(part))]
+                        start += int(n.sum())
+                        cols = [part.column("id").combine_chunks(), pa.array(at), pa.array(n), pa.array(crc, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return starts.repartition(max(1, files.count())).mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def production_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+    return vocabulary_file("word_bpe_49k.json")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
-    path = production_path()
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"]), END])
-    rows = written(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "token-ids")
+    path = "word_bpe_49k.json"
+    size = vocabulary_size(path)
+    rows = written(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, size=size), "token-ids")
     return read_ids(*write_ids(rows, size))

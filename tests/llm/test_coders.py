@@ -86,6 +86,36 @@ def test_added_tokens_in_other_case():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+def test_library_encoder_forgets_and_takes_other_vocabularies(monkeypatch):
+    """A small store, and a vocabulary whose form isn't known, give the library's ids too."""
+    monkeypatch.setattr(rans.LibraryEncoder, "CACHE", 5)
+    for path in (rans.production_path(), bpe.production_path()):
+        library, encoder = Tokenizer.from_file(path), rans.LibraryEncoder(path)
+        for texts in (odd_texts(200, 7), ["(ab)c", "x--y'd", "Äö.ü", "a's b!s"], [None, "", " "], []):
+            want = [x.ids for x in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+
+
+def test_wide_ids(spark):
+    """Ids over 16 bits take 32; an id that doesn't fit is refused."""
+    assert rans.id_type(1 << 16).itemsize == 2 and rans.id_type((1 << 16) + 1).itemsize == 4
+    ids = {k: np.array([70_000, k, 3] * (k + 1), "<u4") for k in range(20)}
+    rows = written(spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in ids.items()], "id int, ids binary"), "test-ids")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rans.read_ids(*rans.write_ids(rows, 70_001), "int").collect()}
+    assert got == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in ids.items()}
+    with pytest.raises(ValueError, match="doesn't fit"):
+        rans.fitted(np.array([3, 70_000]), rans.id_type(10))
+
+
+def test_writer_keeps_no_ids():
+    """What a writer holds doesn't grow with what it was fed."""
+    ids = np.arange(rans.BLOCK * rans.GROUP // 2, dtype=np.uint32) % 1000
+    writer = rans.Writer(io.BytesIO(), rans.Table.scaled(np.bincount(ids)))
+    for _ in range(9):
+        writer.feed(ids)
+        assert writer.size <= rans.BLOCK * rans.GROUP
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 8192, 8193, 32768, 32769, 32768 * 33 + 7])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 49000).astype(np.uint32)
