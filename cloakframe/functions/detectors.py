@@ -311,16 +311,6 @@ def blocked(text: str, patterns: tuple[str, ...]):
                 yield m.start(), m.end(), ((m[0], "custom_block"),)
 
 
-def known(text: str, values: dict[str, str]):
-    """Stored values that only a label gives away, wherever they stand alone."""
-    if values:
-        for m in regex.finditer("|".join(map(regex.escape, sorted(values, key=lambda v: (-len(v), v)))), text):
-            s, e = m.span()
-            joined = (m[0][0].isalnum() and s > 0 and text[s - 1].isalnum()) or (m[0][-1].isalnum() and e < len(text) and text[e].isalnum())
-            if not joined:
-                yield s, e, ((m[0], values[m[0]]),)
-
-
 KNOWN_LENGTH = 6
 
 
@@ -337,8 +327,8 @@ def eligible(value: str) -> bool:
     return len(value) >= KNOWN_LENGTH and len(kinds) >= 2 and not set(value) & set("\n\r")
 
 
-def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = frozenset(), block: tuple[str, ...] = (), values: dict[str, str] | None = None, extra: tuple = ()) -> list[Detection]:
-    """All detections, in the order of the catalogue, then block patterns, then known values, then registered detectors."""
+def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = frozenset(), block: tuple[str, ...] = (), extra: tuple = ()) -> list[Detection]:
+    """All detections, in the order of the catalogue, then block patterns, then registered detectors."""
     out: list[Detection] = []
     low = text.lower()
     for order, d in enumerate(DETECTORS):
@@ -347,5 +337,5 @@ def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = fro
         procedure = PROCEDURES.get(d.name)
         found = procedure(text, forced) if procedure is domain else procedure(text) if procedure else plain(d, text)
         out += [Detection(x[0], x[1], order, *x[2:]) for x in found]
-    more = [blocked(text, block), known(text, values or {}), *(f(text) for f in extra)]
+    more = [blocked(text, block), *(f(text) for f in extra)]
     return out + [Detection(x[0], x[1], len(DETECTORS) + k, *x[2:]) for k, found in enumerate(more) for x in found]

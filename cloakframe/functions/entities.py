@@ -66,14 +66,15 @@ NO_LEFT_EDGE = ("pem_key", "azure_storage_key", "terraform_token", "snyk_token",
 EITHER_CASE = ("razorpay_key",)
 # Spaces of placeholders so small that digests collide in them long before they are full.
 SMALL = ("phone", "intl_phone", "mac", "aadhaar", "pan", "slack_token")
-#: Area codes of made-up phone numbers.
-AREAS = (201, 202, 205, 206, 212, 213, 214, 215, 216, 217, 224, 225, 234, 239, 248, 251, 260, 267, 281, 301, 302, 303, 305, 312, 313, 314, 315,
-         316, 317, 319, 401, 402, 404, 405, 407, 408, 410, 412, 413, 414, 415, 416, 469, 470, 480, 484, 501, 502, 503, 504, 505, 508, 510, 512,
-         513, 514, 515, 516, 517, 518, 519, 520, 530, 601, 602, 603, 604, 605, 606, 607, 608, 609, 610, 612, 613, 614, 615, 616, 617, 618, 619,
-         701, 702, 703, 704, 705, 706, 707, 708, 713, 714, 715, 716, 717, 718, 719, 720, 801, 802, 803, 804, 805, 806, 808, 810, 812, 813, 814,
-         815, 816, 817, 818, 901, 902, 903, 904, 905, 906, 907, 908, 909, 910)
+#: Area codes of made-up phone numbers: a digit from 2, one up to 8, one from 2, which every numbering plan code of that form allows.
+AREAS = 8 * 9 * 8
 
 
+def area(n):
+    """The n-th area code; ``n`` a number or a Column of whole numbers."""
+    if isinstance(n, int):
+        return 100 * (2 + n // 72) + 10 * (n % 72 // 8) + 2 + n % 8
+    return 100 * (2 + F.floor(n / 72)) + 10 * F.floor(n % 72 / 8) + 2 + n % 8
 
 
 def shape_pattern(entity: str) -> str:
@@ -114,7 +115,7 @@ def placeholder(entity: str, real: str, key: str = "cloakframe", generation: int
         elif kind == "A":
             out.append(chr(65 + number % 26))
         elif kind == "C":
-            out.append(str(AREAS[number % len(AREAS)]))
+            out.append(str(area(number % AREAS)))
         else:  # four digits but those of the 01xx exchange, which are phone placeholders
             number %= 9900
             out.append(f"{number if number < 100 else number + 100:04d}")
@@ -146,7 +147,7 @@ def placeholder_column(entity: str, real: Column, key: str = "cloakframe", gener
         elif kind == "A":
             out.append(F.char((number % 26 + 65).cast("int")))
         elif kind == "C":
-            out.append(F.element_at(F.array(*[F.lit(str(a)) for a in AREAS]), (number % len(AREAS) + 1).cast("int")))
+            out.append(area(number % AREAS).cast("string"))
         else:
             m = number % 9900
             out.append(F.lpad(F.when(m < 100, m).otherwise(m + 100).cast("string"), 4, "0"))
@@ -167,5 +168,3 @@ def network6_slot(n: int) -> str:
     if n >= 1 << 32:
         raise ValueError("no IPv6 network placeholders are left")
     return f"fd00:c0de:{n >> 16:04x}:{n & 0xFFFF:04x}"
-
-

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import detectors, formats
+from ..functions import detectors, formats, hosts
 from ..functions.patterns import Detector, java_pattern
 from .rules import Compiled
 
@@ -16,7 +16,7 @@ DETECTION = (
     "start int, end int, det_ord int, seq int, lookups array<struct<real:string,type:string>>, "
     "kind string, before string, after string, preserve boolean"
 )
-SCAN = f"struct<dets:array<struct<{', '.join(x.replace(' ', ':', 1) for x in DETECTION.split(', '))}>>,marks:array<struct<start:int,end:int,token:string>>,error:string>"
+SCAN = f"struct<dets:array<struct<{', '.join(x.replace(' ', ':', 1) for x in DETECTION.split(', '))}>>,marks:array<struct<start:int,end:int,token:string>>,standing:array<string>,error:string>"
 REGISTERED: dict[str, Callable] = {}
 
 
@@ -26,11 +26,10 @@ def register_detector(name: str, find: Callable) -> None:
 
 
 def scan(text: Column, rules: Compiled, only_block: bool = False) -> Column:
-    """struct(dets, marks, error) of each text: detections, placeholders that stand in it, and why it is rejected."""
+    """struct(dets, marks, standing, error) of each text: detections, placeholders that stand in it, those of the small
+    spaces that stand in it by whatever chance, and why it is rejected."""
     extra = tuple(REGISTERED.values())
-    values = dict(rules.known)
 
-    @F.pandas_udf(SCAN)
     def each(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
@@ -38,18 +37,18 @@ def scan(text: Column, rules: Compiled, only_block: bool = False) -> Column:
                 if only_block:
                     found = [detectors.Detection(x[0], x[1], 0, *x[2:]) for x in detectors.blocked(t or "", rules.block)]
                 else:
-                    found = detectors.detect(t or "", rules.disabled, rules.forced, rules.block, values, extra)
+                    found = detectors.detect(t or "", rules.disabled, rules.forced, rules.block, extra)
                 dets = [
                     {"start": d.start, "end": d.end, "det_ord": d.order, "seq": k, "lookups": [{"real": r, "type": e} for r, e in d.lookups], "kind": d.kind, "before": d.before, "after": d.after, "preserve": d.keep}
                     for k, d in enumerate(found)
                 ]
                 marks = [{"start": s, "end": e, "token": x} for s, e, x in formats.occurrences(t or "")] if found else []
-                rows.append((dets, marks, None))
+                rows.append((dets, marks, formats.standing(t or ""), None))
             except Exception as e:  # the one place that turns a detector's error into a rejected row
-                rows.append(([], [], f"{type(e).__name__}"))
-        return pd.DataFrame(rows, columns=["dets", "marks", "error"])
+                rows.append(([], [], [], f"{type(e).__name__}"))
+        return pd.DataFrame(rows, columns=["dets", "marks", "standing", "error"])
 
-    return each(text)
+    return F.pandas_udf(hosts.shipped(each), SCAN)(text)
 
 
 def matches(text: Column, detector: Detector) -> Column:

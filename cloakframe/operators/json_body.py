@@ -329,6 +329,19 @@ def put_back(body: str, fields: list[tuple[int, int, str]]) -> str:
     return "".join([*out, body[at:]])
 
 
+def value_texts(text: str) -> list[Node]:
+    """All strings of any JSON value, keys too; none of what can't be read."""
+    try:
+        return list(leaves(parse(text), keys=True))
+    except BadBody:
+        return []
+
+
+def restore_value(text: str, restore) -> str:
+    """A JSON value with ``restore`` applied to each of its strings; text that isn't one stays as it is."""
+    return put_back(text, [(n.start, n.end, restore(n.text)) for n in value_texts(text)])
+
+
 def flatten(body: Column, strict: bool = True) -> Column:
     """struct(fields, error): what is scanned of each body."""
 
@@ -357,21 +370,24 @@ def assemble(body: Column, fields: Column) -> Column:
 
 def rewrite_bodies(df: DataFrame, id_col: str, body_col: str, rewrite, strict: bool) -> tuple[DataFrame, DataFrame]:
     """(rows with rewritten bodies, rejects). ``rewrite``: from a DataFrame (seg_id, text) to one with the new texts and
-    one with the ids that failed."""
-    found = df.withColumn("__f", flatten(F.col(body_col), strict)).withColumn("__id", F.monotonically_increasing_id()).persist()
+    one with the ids that failed. Bodies are known by their digest, so each is rewritten once, and a task that runs again
+    finds the same ones; null bodies are keyed apart."""
+    own = lambda: F.coalesce(F.sha2(F.col(body_col), 256), F.concat(F.lit("null-"), F.xxhash64(id_col).cast("string")))
+    keyed = df.withColumn("__id", own())
+    found = keyed.where(F.col(body_col).isNotNull()).groupBy("__id").agg(F.first(body_col).alias("__b")).withColumn("__f", flatten(F.col("__b"), strict))
     fields = found.select("__id", F.posexplode("__f.fields").alias("field", "x"))
     segs = fields.select("__id", "field", "x.start", "x.end", F.posexplode("x.segs").alias("seg", "s")).select("__id", "field", "start", "end", "seg", "s.*")
-    key = F.concat_ws("-", F.lpad(F.col("__id").cast("string"), 19, "0"), F.lpad(F.col("field").cast("string"), 9, "0"), F.lpad(F.col("seg").cast("string"), 9, "0"))
-    segs = segs.withColumn("seg_id", key).persist()
+    segs = segs.withColumn("seg_id", F.concat_ws("-", "__id", F.lpad(F.col("field").cast("string"), 9, "0"), F.lpad(F.col("seg").cast("string"), 9, "0")))
     new, failed = rewrite(segs.where("scan").select("seg_id", "text"))
     whole = segs.join(new.withColumnRenamed("text", "new"), "seg_id", "left").withColumn("text", F.coalesce("new", "text"))
     texts = whole.groupBy("__id", "field").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), "").alias("text"))
     back = texts.groupBy("__id").agg(F.collect_list(F.struct("start", "end", "text")).alias("__t"))
     lost = segs.join(failed, "seg_id").groupBy("__id").agg(F.first("error").alias("__lost"))
-    joined = found.join(back, "__id", "left").join(lost, "__id", "left")
     error = F.coalesce("__f.error", "__lost")
-    rows = joined.where(error.isNull() | F.lit(not strict)).withColumn(body_col, F.when(error.isNotNull(), F.col(body_col)).otherwise(assemble(F.col(body_col), F.col("__t")))).select(*df.columns)
-    return rows, joined.where(error.isNotNull()).select(id_col, error.alias("error"))
+    done = found.join(back, "__id", "left").join(lost, "__id", "left").select("__id", error.alias("__e"), F.when(error.isNotNull(), F.col("__b")).otherwise(assemble(F.col("__b"), F.col("__t"))).alias("__new"))
+    joined = keyed.join(done, "__id", "left")
+    rows = joined.where(F.col("__e").isNull() | F.lit(not strict)).withColumn(body_col, F.col("__new")).select(*df.columns)
+    return rows, joined.where(F.col("__e").isNotNull()).select(id_col, F.col("__e").alias("error"))
 
 
 def tokenize_bodies(redactor, df: DataFrame, id_col: str, body_col: str) -> tuple[DataFrame, DataFrame]:

@@ -20,13 +20,12 @@ ENGAGEMENT = re.compile(r"[A-Za-z0-9_-]{1,64}\Z")
 
 @dataclass(frozen=True)
 class Compiled:
-    """Rules as the plan needs them. ``known``: (value, entity) pairs that are searched for everywhere."""
+    """Rules as the plan needs them."""
 
     disabled: frozenset = frozenset()
     block: tuple[str, ...] = ()
     allow: str | None = None
     forced: frozenset = frozenset()
-    known: tuple[tuple[str, str], ...] = ()
 
     def off(self, name: str) -> bool:
         return name in self.disabled or name.partition(".")[0] in self.disabled
@@ -66,7 +65,14 @@ class Rules:
             os.fsync(f.fileno())
         os.replace(own, path)
 
-    def validate(self) -> None:
+    def validate(self, spark=None) -> None:
+        """``spark``: patterns must compile on the executors' other engine, Java's, too."""
+        for entry in [*self.block, *self.allow] if spark is not None else ():
+            if entry.get("regex"):
+                try:
+                    spark.sparkContext._jvm.java.util.regex.Pattern.compile(entry["value"])
+                except Exception as e:
+                    raise ValueError(f"not a regular expression in Java: {entry['value']!r}") from e
         for entry in [*self.block, *self.allow]:
             value = entry.get("value", "")
             if not value.strip():
@@ -131,14 +137,14 @@ class Rules:
         allow = self.compiled().allow
         return [e["value"] for e in self.block if allow and not e.get("regex") and re.match(allow.replace(r"\z", r"\Z"), e["value"])]
 
-    def compiled(self, known: tuple[tuple[str, str], ...] = ()) -> Compiled:
+    def compiled(self) -> Compiled:
         self.validate()
         disabled = frozenset(n for n, c in self.categories.items() if c.get("enabled") is False)
         block = tuple(e["value"] if e.get("regex") else "(?i)" + re.escape(e["value"]) for e in self.block if not (e.get("is_domain") and hosts.registrable(e["value"])))
         forced = frozenset(f[0] for e in self.block if e.get("is_domain") and (f := hosts.registrable(e["value"])))
         listed = [h for k, v in ALLOW_LISTS.items() if f"allowlist.{k}" not in disabled for h in v]
         values = [e["value"] if e.get("regex") else re.escape(e["value"]) for e in self.allow]
-        return Compiled(disabled, block, allow_pattern(values, listed), forced, known)
+        return Compiled(disabled, block, allow_pattern(values, listed), forced)
 
 
 def blocked_paths(paths: list[str], rules: Compiled) -> list[str]:

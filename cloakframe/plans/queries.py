@@ -18,6 +18,7 @@ from ..streaming.sse import flush_boundary
 from .plants import PLANTS, expression, planted_sql, planted_text
 from .redactor import Redactor
 
+SALT = "cloakframe"  # fixed, so that SQL can tell the placeholders
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -215,7 +216,7 @@ def allow_beats_block(spark, sf_dir):
     """A value that is allowed and blocked stays."""
     rules = Rules(block=[{"value": "acme"}], allow=[{"value": "AcMe"}])
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(NOTE).alias("text"))
-    return Redactor(spark, Vault(spark, shared_path(spark, "vault")), rules).tokenize(rows, "c_custkey", "text").rows
+    return Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT), rules).tokenize(rows, "c_custkey", "text").rows
 
 
 # -- vault ------------------------------------------------------------------------------------------------------------
@@ -230,7 +231,7 @@ def token_sql(entity: str, value: str, n: int) -> str:
 def vault_get_or_create(spark, sf_dir):
     """Known values keep their placeholders, new ones get theirs; both through the stored vault, in two batches."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("real"), F.lit("github_token").alias("entity_type"), F.col("c_custkey").alias("place"))
-    vault = Vault(spark, shared_path(spark, "vault"))
+    vault = Vault(spark, shared_path(spark, "vault"), salt=SALT)
     vault.get_or_create(names.where("place % 5 = 0"))
     known = vault.entries().select("real", F.lit(True).alias("k"))  # reads the batches of now, not of later
     return vault.get_or_create(names).join(known, "real", "left").select("real", "token", F.coalesce("k", F.lit(False)).alias("known"))
@@ -407,7 +408,7 @@ def json_safe_bodies(spark, sf_dir):
 def json_tokenize_bodies(spark, sf_dir):
     """Bodies with the tokens in their messages replaced and every other byte as it was."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(body(False)).alias("body"))
-    return json_body.tokenize_bodies(Redactor(spark, Vault(spark, shared_path(spark, "vault"))), rows, "c_custkey", "body")[0]
+    return json_body.tokenize_bodies(Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT)), rows, "c_custkey", "body")[0]
 
 
 # -- there and back ---------------------------------------------------------------------------------------------------
@@ -415,7 +416,7 @@ def json_tokenize_bodies(spark, sf_dir):
 
 def tokenized(spark, sf_dir, name: str):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(planted_text(name)).alias("text"))
-    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault")))
+    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
     return redactor, redactor.tokenize(rows, "c_custkey", "text")
 
 

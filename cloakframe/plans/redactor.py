@@ -6,14 +6,16 @@ open: an unknown placeholder stays. Known values and hosts in paths see the vaul
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detectors, formats
-from ..operators import detect, resolve
+from ..functions import detectors, formats, hosts
+from ..operators import detect, json_body, resolve
 from ..operators.rules import Compiled, Rules
 from ..operators.vault import Vault
 
@@ -22,23 +24,45 @@ REWRITE = "struct<text:string,wire:array<struct<real:string,token:string,entity_
 
 @dataclass
 class Tokenized:
-    """``rows``: the input with the rewritten text. ``rejects``: id and error. ``audit``: one row per replacement."""
+    """``rows``: the input with the rewritten text. ``rejects``: id and error. ``audit``: one row per replacement.
+
+    ``close`` (or leaving a ``with`` block) gives back what is cached for them."""
 
     rows: DataFrame
     rejects: DataFrame
     audit: DataFrame
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+
+    def __enter__(self) -> Tokenized:
+        return self
 
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
-STARTS = "array<struct<at:int,head:string>>"
-KNOWN = 10_000
+
+STARTS = "array<struct<at:int,head:string,part:string>>"
+HEADS = 1 << 20  # places of the filter by which stored values' heads are known: what is broadcast
 
 
 def _eligible(values: pd.Series) -> pd.Series:
     return values.map(detectors.eligible)
 
 
-def _starts(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"at": k, "head": h} for k, h in detectors.starts(t or "")] for t in texts])
+def starts_with(held: np.ndarray, longest: int):
+    """Finds the places of texts at which a stored value can begin: ``held`` knows heads by their checksum, with some more."""
+
+    def each(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            found = detectors.starts(t or "")
+            out.append([{"at": k, "head": h, "part": t[k : k + longest + 1]} for k, h in found if held[zlib.crc32(h.encode()) % HEADS]])
+        return pd.Series(out)
+
+    return F.pandas_udf(each, STARTS)
 
 
 def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFrame:
@@ -56,14 +80,30 @@ def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFra
     return pd.DataFrame({"text": out, "wire": wires})
 
 
-def _restore(texts: pd.Series, tokens: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or held is None else formats.restore(t, {x["token"]: x["real"] for x in held}) for t, held in zip(texts, tokens, strict=True)])
+def _restore(texts: pd.Series, tokens: pd.Series, json: pd.Series) -> pd.Series:
+    out = []
+    for t, held, whole in zip(texts, tokens, json, strict=True):
+        if t is not None and held is not None:
+            of = {x["token"]: x["real"] for x in held}
+            t = json_body.restore_value(t, lambda x, of=of: formats.restore(x, of)) if whole else formats.restore(t, of)
+        out.append(t)
+    return pd.Series(out)
 
 
 def _candidates(texts: pd.Series) -> pd.Series:
     return pd.Series([formats.candidates(t) if t else [] for t in texts])
 
 
+def _candidates_of(texts: pd.Series, json: pd.Series) -> pd.Series:
+    """Placeholders of texts, or of the strings of JSON values."""
+    return pd.Series([sorted({c for x in ([n.text for n in json_body.value_texts(t)] if whole else [t]) for c in formats.candidates(x)}) if t else [] for t, whole in zip(texts, json, strict=True)])
+
+
+def key_of(text_col: str) -> Column:
+    """The digest of a text. Nulls get keys of their own, which meet nothing, so they don't meet in one task either."""
+    return F.coalesce(F.sha2(F.col(text_col), 256), F.concat(F.lit("null-"), F.monotonically_increasing_id().cast("string")))
+
+
 class Redactor:
     """Tokenizes and restores text columns of DataFrames against one vault."""
 
@@ -71,39 +111,44 @@ class Redactor:
         self.spark, self.vault = spark, vault
         self.rules = rules if isinstance(rules, Compiled) else (rules or Rules()).compiled()
 
-    def with_known(self) -> tuple[Compiled, DataFrame | None]:
-        """The rules with the stored values that only their labels give away, or those values as a DataFrame.
+    def known_values(self) -> DataFrame:
+        """(real, entity_type) of the stored values that are searched for without their label."""
+        values = self.vault.label_only().select("real", "entity_type")
+        return values.where(F.pandas_udf(_eligible, "boolean")("real"))
 
-        Up to KNOWN values are one pattern that every task searches with; more of them are found by a join.
+    def _known(self, texts: DataFrame, values: DataFrame) -> DataFrame | None:
+        """(h, more): detections of stored values, met by the characters they begin with at places where one could stand.
+
+        What moves is a place and as much text as the longest value, and only for places whose head a value may have.
         """
-        values = self.vault.label_only().select("real", "entity_type")
-        rows, r = values.limit(KNOWN + 1).collect(), self.rules
-        if len(rows) > KNOWN:
-            return r, values.where(F.pandas_udf(_eligible, "boolean")("real"))
-        known = tuple(sorted((x["real"], x["entity_type"]) for x in rows if detectors.eligible(x["real"])))
-        return Compiled(r.disabled, r.block, r.allow, r.forced, known), None
-
-    def _known_by_join(self, texts: DataFrame, values: DataFrame) -> DataFrame:
-        """(h, more): detections of stored values, met by the characters they begin with at places where one could stand."""
-        starts = texts.select("h", "text", F.explode(F.pandas_udf(_starts, STARTS)("text")).alias("s")).select("h", "text", "s.*")
-        met = starts.join(values.withColumn("head", F.substring("real", 1, detectors.KNOWN_LENGTH)), "head")
-        end = F.col("at") + F.length("real")
-        same = F.expr("substring(text, at + 1, length(real)) = real")
-        apart = ~(F.col("real").rlike("[\\p{L}\\p{N}]\\z") & F.expr("substring(text, at + length(real) + 1, 1)").rlike("[\\p{L}\\p{N}]"))
+        head = F.substring("real", 1, detectors.KNOWN_LENGTH)
+        places = values.select(F.pmod(F.crc32(head.cast("binary")), F.lit(HEADS)).cast("int").alias("p"), F.length("real").alias("n"))
+        filled = places.groupBy("p").agg(F.max("n").alias("n")).collect()  # HEADS rows at most, however many values there are
+        if not filled:
+            return None
+        held = np.zeros(HEADS, bool)
+        held[[r["p"] for r in filled]] = True
+        starts = texts.select("h", F.explode(starts_with(held, max(r["n"] for r in filled))("text")).alias("s")).select("h", "s.*")
+        met = starts.join(values.withColumn("head", head), "head")
+        n = F.length("real")
+        same = F.expr("startswith(part, real)")
+        apart = ~(F.col("real").rlike("[\\p{L}\\p{N}]\\z") & F.expr("substring(part, length(real) + 1, 1)").rlike("[\\p{L}\\p{N}]"))
         det = F.struct(
-            F.col("at").alias("start"), end.cast("int").alias("end"), F.lit(1000).alias("det_ord"), F.col("at").alias("seq"),
+            F.col("at").alias("start"), (F.col("at") + n).cast("int").alias("end"), F.lit(1000).alias("det_ord"), F.col("at").alias("seq"),
             F.array(F.struct("real", F.col("entity_type").alias("type"))).alias("lookups"), F.lit("whole").alias("kind"),
             F.lit("").alias("before"), F.lit("").alias("after"), F.lit(False).alias("preserve"),
         )
         return met.where(same & apart).groupBy("h").agg(F.collect_list(det).alias("more"))
 
-    def _found(self, texts: DataFrame, rules: Compiled, only_block: bool, values: DataFrame | None) -> DataFrame:
-        """(h, text, place, dets, error) of distinct texts, after the vetoes and without overlap."""
+    def _found(self, texts: DataFrame, rules: Compiled, only_block: bool, cached: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """(h, text, place, dets, error) of distinct texts, after the vetoes and without overlap; and (token) of the small
+        placeholders that stand in the texts as they came."""
         scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "text", "place", "scan.*")
-        if values is not None:
-            more = self._known_by_join(texts, values)
+        more = None if only_block else self._known(texts, self.known_values())
+        if more is not None:
             scanned = scanned.join(more, "h", "left").withColumn("dets", F.when(F.col("more").isNull(), F.col("dets")).otherwise(F.concat("dets", "more"))).drop("more")
         scanned = scanned.persist()
+        cached.append(scanned)
         marks = scanned.select("h", F.explode("marks").alias("m")).select("h", "m.*").join(self.vault.spans(), "token", "left_semi")
         real = marks.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("held"))
         paths = scanned.select("h", F.explode(F.filter("dets", lambda d: d["preserve"])).alias("d")).select("h", F.explode("d.lookups.real").alias("real"))
@@ -111,45 +156,54 @@ class Redactor:
         joined = scanned.join(real, "h", "left").join(known, "h", "left")
         none = F.array().cast("array<struct<start:int,end:int>>")
         dets = resolve.placeholder_veto(resolve.allow_veto(F.col("dets"), rules.allow), F.coalesce("held", none))
-        return joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), F.col("known"))).select("h", "text", "place", "dets", "error")
+        found = joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), F.col("known"))).select("h", "text", "place", "dets", "error")
+        return found, scanned.select(F.explode("standing").alias("token")).distinct()
 
-    def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None, values: DataFrame | None = None) -> DataFrame:
+    def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None, cached: list[DataFrame]) -> DataFrame:
         """(h, text, error, new_text, wire)."""
-        found = self._found(texts, rules, only_block, values).persist()
+        found, standing = self._found(texts, rules, only_block, cached)
+        found = found.persist()
+        cached.append(found)
         wanted = found.select("place", "h", F.explode("dets").alias("d")).select(
             F.struct("place", "h", "d.start", "d.det_ord", "d.seq").alias("place"), "h", F.explode("d.lookups").alias("x")
         )
         wanted = wanted.select("h", "place", F.col("x.real").alias("real"), F.col("x.type").alias("entity_type"))
-        tokens = self.vault.get_or_create(wanted.select("real", "entity_type", "place"), name)
+        tokens = self.vault.get_or_create(wanted.select("real", "entity_type", "place"), name, standing)
         held = wanted.select("h", "real").distinct().join(tokens, "real").groupBy("h").agg(F.collect_list(F.struct("real", "token")).alias("tokens"))
-        done = found.join(held, "h", "left").withColumn("new", F.when(F.size("dets") > 0, F.pandas_udf(_rewrite, REWRITE)("text", "dets", "tokens")))
+        done = found.join(held, "h", "left").withColumn("new", F.when(F.size("dets") > 0, F.pandas_udf(hosts.shipped(_rewrite), REWRITE)("text", "dets", "tokens")))
         return done.select("h", "text", "error", F.coalesce("new.text", "text").alias("new_text"), F.coalesce("new.wire", F.array().cast("array<struct<real:string,token:string,entity_type:string,wire_value:string>>")).alias("wire"))
 
     def tokenize(self, df: DataFrame, id_col: str, text_col: str, name: str | None = None) -> Tokenized:
         """``name`` makes a batch repeatable: running it again mints nothing new."""
-        rules, values = self.with_known()
-        keyed = df.withColumn("__h", F.sha2(F.col(text_col), 256)).withColumn("__ok", F.col(text_col).isNull() | F.expr(f"is_valid_utf8(`{text_col}`)"))
-        texts = keyed.where("__h is not null and __ok").groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(id_col).alias("place"))
-        done = self._pass(texts, rules, False, name, values)
+        rules, cached = self.rules, []
+        keyed = df.withColumn("__h", key_of(text_col)).withColumn("__ok", F.col(text_col).isNull() | F.expr(f"is_valid_utf8(`{text_col}`)"))
+        texts = keyed.where(F.col(text_col).isNotNull() & F.col("__ok")).groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(id_col).alias("place"))
+        done = self._pass(texts, rules, False, name, cached)
         if rules.block:  # the output is scanned again for what operators block
             again = done.where("error is null").select(F.col("h"), F.col("new_text").alias("text"), F.lit(0).alias("place"))
-            second = self._pass(again, rules, True, f"{name}-block" if name else None).select("h", F.col("new_text").alias("text2"), F.col("wire").alias("wire2"), F.col("error").alias("error2"))
+            second = self._pass(again, rules, True, f"{name}-block" if name else None, cached).select("h", F.col("new_text").alias("text2"), F.col("wire").alias("wire2"), F.col("error").alias("error2"))
             done = done.join(second, "h", "left").select("h", F.coalesce("error", "error2").alias("error"), F.coalesce("text2", "new_text").alias("new_text"), F.concat("wire", F.coalesce("wire2", F.array().cast("array<struct<real:string,token:string,entity_type:string,wire_value:string>>"))).alias("wire"))
         done = done.select("h", "error", "new_text", "wire").persist()
+        cached.append(done)
         joined = keyed.join(done, F.col("__h") == F.col("h"), "left")
         bad = F.col("error").isNotNull() | ~F.col("__ok")
         rows = joined.where(~bad).withColumn(text_col, F.col("new_text")).select(*df.columns)
         rejects = joined.where(bad).select(id_col, F.coalesce("error", F.lit("invalid UTF-8")).alias("error"))
         audit = done.where("error is null").select(F.explode("wire").alias("w")).select(F.lit("replacement").alias("event"), F.lit("tokenize").alias("direction"), "w.*")
-        return Tokenized(rows, rejects, audit)
+        return Tokenized(rows, rejects, audit, cached)
 
-    def detokenize(self, df: DataFrame, text_col: str) -> DataFrame:
-        """``df`` with the values back in ``text_col``. Candidates are looked up by a join; the vault is never collected."""
-        texts = df.select(F.sha2(F.col(text_col), 256).alias("h"), F.col(text_col).alias("t")).where("h is not null").dropDuplicates(["h"])
-        asked = texts.select("h", F.explode(F.pandas_udf(_candidates, "array<string>")("t")).alias("token"))
+    def detokenize(self, df: DataFrame, text_col: str, json: Column | None = None) -> DataFrame:
+        """``df`` with the values back in ``text_col``. Candidates are looked up by a join; the vault is never collected.
+
+        ``json``: whether a row's text is a JSON value, of which only the strings are restored.
+        """
+        whole = F.coalesce(F.lit(False) if json is None else json, F.lit(False))
+        keyed = df.withColumn("__json", whole).withColumn("__h", F.concat(F.col("__json").cast("string"), key_of(text_col)))
+        texts = keyed.where(F.col(text_col).isNotNull()).groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("t"), F.first("__json").alias("j"))
+        asked = texts.select("h", F.explode(F.pandas_udf(_candidates_of, "array<string>")("t", "j")).alias("token"))
         held = asked.join(self.vault.entries().select("token", "real"), "token").groupBy("h").agg(F.collect_list(F.struct("token", "real")).alias("__held"))
-        joined = df.withColumn("__h", F.sha2(F.col(text_col), 256)).join(held, F.col("__h") == F.col("h"), "left")
-        back = F.when(F.col("__held").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_restore, "string")(F.col(text_col), F.col("__held")))
+        joined = keyed.join(held, F.col("__h") == F.col("h"), "left")
+        back = F.when(F.col("__held").isNull(), F.col(text_col)).otherwise(F.pandas_udf(hosts.shipped(_restore), "string")(F.col(text_col), F.col("__held"), F.col("__json")))
         return joined.withColumn(text_col, back).select(*df.columns)
 
 
@@ -164,5 +218,5 @@ def register_functions(spark: SparkSession, rules: Rules | None = None) -> None:
             out.append([{"start": d.start, "end": d.end, "category": d.order, "value": t[d.start : d.end]} for d in detectors.detect(t or "", compiled.disabled, compiled.forced, compiled.block)])
         return pd.Series(out)
 
-    spark.udf.register("detect", found)
+    spark.udf.register("detect", F.pandas_udf(hosts.shipped(found.func), found.returnType))
     spark.udf.register("placeholder_candidates", F.pandas_udf(_candidates, "array<string>"))

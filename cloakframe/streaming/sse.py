@@ -1,7 +1,12 @@
-"""Streams: event frames re-chunked so that no placeholder is cut, and text tokenized batch by batch.
+"""Streams: event frames re-chunked so that no placeholder is cut, restored, and text tokenized batch by batch.
 
 Text arrives in deltas that may end within a placeholder. A delta is let out up to the last separator, and not beyond the
-beginning of what could become a placeholder; at most HOLD bytes are held back by the first rule. Tool input is held whole.
+beginning of what could become a placeholder; at most HOLD bytes are held back by the first rule, and a placeholder that
+stands whole is never cut, whatever it holds. Tool input is held whole. All other frames pass through as they came.
+
+Frames of a stream are numbered from 0 by ``seq``. A frame waits until all before it were seen, in whatever batch or order
+they come; one that was seen already is dropped. A gap is given up, in the order of seq, when WAITING frames are behind it
+or (``timed``) the stream falls silent.
 """
 
 from __future__ import annotations
@@ -23,9 +28,11 @@ IDLE_MS = 60_000
 BUFFERED = ("text", "tool_use", "mcp_tool_use")
 BODY_BYTES = 64 << 20
 OPEN = regex.compile("|".join([*(shape_pattern(e) for e in SHAPES), r"198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}", r"240\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"fd00:c0de:[0-9a-f:]+"]))
-CHUNKS = "stream_id string, index long, seq long, kind string, text string"
+WAITING = 10_000
+CHUNKS = "stream_id string, index long, seq long, part int, kind string, text string, event string, data string"
 EVENT = "struct<index:long,action:string,kind:string,part:string>"
-STATE = "kind string, held string, over boolean, seq long"
+STATE = "held string"
+TEXT, JSON_KINDS, FRAME, VERBATIM = "text", ("tool_use", "mcp_tool_use"), "frame", "verbatim"
 
 
 def flush_boundary(text: str) -> int:
@@ -40,17 +47,30 @@ def flush_boundary(text: str) -> int:
     return safe
 
 
-def safe_point(text: str) -> int:
-    """The longest beginning that doesn't end within what could be a placeholder."""
-    at = 0
+def placeholders(text: str) -> tuple[list[tuple[int, int]], int]:
+    """(where placeholders stand whole, where one begins that the end of the text cuts off, or else the text's length)."""
+    at, whole = 0, []
     while at <= len(text):
         m = OPEN.search(text, at, partial=True)
         if m is None:
             break
         if m.partial:
-            return m.start()
+            return whole, m.start()
+        whole.append(m.span())
         at = max(m.end(), at + 1)
-    return len(text)
+    return whole, len(text)
+
+
+def safe_point(text: str) -> int:
+    """The longest beginning that doesn't end within what could be a placeholder."""
+    return placeholders(text)[1]
+
+
+def cut_point(text: str) -> int:
+    """The longest beginning that can leave now: by both rules, and not within a whole placeholder."""
+    whole, cut = placeholders(text)
+    cut = min(cut, flush_boundary(text))
+    return next((s for s, e in whole if s < cut < e), cut)
 
 
 def step(kind: str, held: str, over: bool, action: str, part: str) -> tuple[str, str, bool]:
@@ -60,32 +80,118 @@ def step(kind: str, held: str, over: bool, action: str, part: str) -> tuple[str,
         return held, "", over
     if action == "stop":
         return held, "", over
-    if kind == "text":
-        cut = min(safe_point(held), flush_boundary(held))
+    if kind == TEXT:
+        cut = cut_point(held)
         return held[:cut], held[cut:], False
-    if len(held.encode()) > BODY_BYTES:
+    if 4 * len(held) > BODY_BYTES and len(held.encode()) > BODY_BYTES:
         return held, "", True
     return "", held, False
 
 
+# The delta that each kind of block is held back from.
+DELTAS = {"text": ("text_delta", "text"), "tool_use": ("input_json_delta", "partial_json"), "mcp_tool_use": ("input_json_delta", "partial_json")}
+
+
 def read_event(data: str) -> tuple[int, str, str, str]:
-    """(block index, action, block kind, text) of a frame's data; action is start, delta, stop, end, or raw if unreadable."""
+    """(block index, action, kind, text) of a frame's data. Actions: start (kind: the block's), delta (kind: the delta's),
+    stop, end, pass (anything else)."""
     try:
         event = json.loads(data)
-        name = event.get("type", "")
-        index = int(event.get("index", -1))
+        name, index = event.get("type", ""), int(event.get("index", -1))
         if name == "content_block_start":
-            return index, "start", event["content_block"].get("type", ""), event["content_block"].get("text", "") or ""
+            block = event["content_block"]
+            return index, "start", block.get("type", ""), block.get("text", "") or ""
         if name == "content_block_delta":
             delta = event["delta"]
-            return index, "delta", "", delta.get("text", delta.get("partial_json", "")) or ""
+            kind = delta.get("type", "")
+            field = next((f for t, f in DELTAS.values() if t == kind), None)
+            return index, "delta", kind, (delta.get(field, "") or "") if field else ""
         if name == "content_block_stop":
             return index, "stop", "", ""
         if name in ("message_stop", "error"):
             return index, "end", "", ""
     except (ValueError, KeyError, AttributeError, TypeError):
         pass
-    return -1, "raw", "", data
+    return -1, "pass", "", ""
+
+
+def without_text(data: str) -> str:
+    """A start frame whose text, if it has any, comes as a delta."""
+    event = json.loads(data)
+    event["content_block"]["text"] = ""
+    return json.dumps(event, ensure_ascii=False)
+
+
+class Stream:
+    """The state of one stream: the next seq, frames that wait for it, and open blocks. Rows go to ``out``."""
+
+    def __init__(self, stream_id: str, held: str | None):
+        state = json.loads(held) if held else {"next": 0, "wait": {}, "blocks": {}}
+        self.id, self.next, self.wait, self.blocks = stream_id, state["next"], {int(k): v for k, v in state["wait"].items()}, state["blocks"]
+        self.out: list[tuple] = []
+        self.parts = 0
+
+    def held(self) -> str:
+        return json.dumps({"next": self.next, "wait": self.wait, "blocks": self.blocks})
+
+    def put(self, seq: int, index: int, kind: str, text: str, event: str | None, data: str | None) -> None:
+        self.out.append((self.id, index, seq, self.parts, kind, text, event, data))
+        self.parts += 1
+
+    def come(self, frames: list[tuple]) -> None:
+        """Frames (seq, index, action, kind, part, event, data), in any order."""
+        for seq, *frame in frames:
+            if seq >= self.next:
+                self.wait.setdefault(seq, frame)
+        self.go_on()
+        while len(self.wait) > WAITING:
+            self.next = min(self.wait)
+            self.go_on()
+
+    def go_on(self) -> None:
+        while self.next in self.wait:
+            self.take(self.next, *self.wait.pop(self.next))
+            self.next += 1
+
+    def give_up(self) -> None:
+        """What waits leaves in the order of seq, then what open blocks hold."""
+        while self.wait:
+            self.next = min(self.wait)
+            self.go_on()
+        self.close(self.next)
+
+    def close(self, seq: int) -> None:
+        for index in sorted(self.blocks, key=int):
+            self.let(seq, int(index), "stop", "")
+        self.blocks.clear()
+
+    def let(self, seq: int, index: int, action: str, part: str) -> None:
+        kind, held, over = self.blocks[str(index)]
+        text, held, now = step(kind, held, over, action, part)
+        if text:
+            self.put(seq, index, VERBATIM if now else kind, text, "content_block_delta", None)
+        self.blocks[str(index)] = [kind, held, now]
+
+    def take(self, seq: int, index: int, action: str, kind: str, part: str, event: str, data: str) -> None:
+        """One frame, whose turn it is."""
+        self.parts = 0
+        block = self.blocks.get(str(index))
+        if action == "delta" and block and not block[2] and DELTAS.get(block[0], ("",))[0] == kind:
+            self.let(seq, index, action, part)
+            return
+        if action == "stop" and block:
+            self.let(seq, index, action, "")
+            del self.blocks[str(index)]
+        elif action == "end":
+            self.close(seq)
+        elif action == "start":
+            if kind in BUFFERED:
+                self.blocks[str(index)] = [kind, "", False]
+            if kind == TEXT and part:
+                data = without_text(data)
+        self.put(seq, index, FRAME, "", event, data)
+        if action == "start" and kind == TEXT and part:
+            self.let(seq, index, "delta", part)
 
 
 def _events(data: pd.Series) -> pd.DataFrame:
@@ -93,61 +199,54 @@ def _events(data: pd.Series) -> pd.DataFrame:
 
 
 def _blocks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
-    """One stream's frames in the order of seq; its open blocks are the state."""
-    blocks = json.loads(state.get[1]) if state.exists else {}
-    if state.hasTimedOut:
-        rows = pd.DataFrame()
-    else:
-        rows = pd.concat(list(frames)).sort_values("seq")
-    out = []
-
-    def let(seq: int, index: int, action: str, part: str) -> None:
-        kind, held, over = blocks.get(str(index), ["", "", False])
-        text, held, over = step(kind, held, over, action, part)
-        if text:
-            out.append((key[0], index, seq, kind or "raw", text))
-        blocks[str(index)] = [kind, held, over]
-
-    for r in rows.itertuples():
-        if r.action == "start":
-            blocks[str(r.index_)] = [r.kind, "", False]
-            let(r.seq, r.index_, "delta", r.part)
-        elif r.action in ("end", "raw"):
-            for index in sorted(blocks, key=int) if r.action == "end" else ():
-                let(r.seq, int(index), "stop", "")
-            if r.action == "raw":
-                out.append((key[0], -1, r.seq, "raw", r.part))
-            else:
-                blocks.clear()
-        else:
-            let(r.seq, r.index_, r.action, r.part)
-            if r.action == "stop":
-                blocks.pop(str(r.index_), None)
+    """One stream's frames; what it holds is the state. It stays after the message's end, so that frames that come twice are known."""
+    stream = Stream(key[0], state.get[0] if state.exists else None)
     if state.hasTimedOut:
-        for index in sorted(blocks, key=int):
-            let(1 << 40, int(index), "stop", "")
+        stream.give_up()
         state.remove()
-    elif blocks:
-        state.update(("", json.dumps(blocks), False, 0))
+    else:
+        for part in frames:
+            stream.come(list(part[["seq", "index_", "action", "kind", "part", "event", "data"]].itertuples(index=False, name=None)))
+        state.update((stream.held(),))
         if timed:
             state.setTimeoutDuration(IDLE_MS)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["stream_id", "index", "seq", "kind", "text"])
+    yield pd.DataFrame(stream.out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
 def rechunk(frames: DataFrame, timed: bool = False) -> DataFrame:
-    """(stream_id, index, seq, kind, text) from a stream of (stream_id, seq, event, data); state is kept by stream_id.
+    """CHUNKS from a stream of (stream_id, seq, event, data); state is kept by stream_id. Rows are in order by (seq, part).
 
+    A row of kind FRAME is a frame that passes through (its text is empty); any other row is a delta that is to be made of
+    ``text``, which is to be restored unless its kind is VERBATIM (tool input over the limit).
     ``timed``: a stream that says nothing for IDLE_MS is closed, and what it held is let out. It keeps a query running, so
     it is not for one that ends with its input.
     """
-    read = frames.withColumn("e", F.pandas_udf(_events, EVENT)("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part")
+    read = frames.withColumn("e", F.pandas_udf(_events, EVENT)("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part", F.coalesce("event", F.lit("")).alias("event"), F.coalesce("data", F.lit("")).alias("data"))
     return read.groupBy("stream_id").applyInPandasWithState(
         lambda key, rows, state: _blocks(key, rows, state, timed), CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
     )
 
 
+def restored_frames(redactor, chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, part, event, data): frames to be sent on, with the values back in text and tool input."""
+    plain = F.col("kind").isin(FRAME, VERBATIM)
+    back = redactor.detokenize(chunks.where(~plain), "text", F.col("kind").isin(*JSON_KINDS)).unionByName(chunks.where(plain))
+    text = F.struct(F.lit("text_delta").alias("type"), "text")
+    tool = F.struct(F.lit("input_json_delta").alias("type"), F.col("text").alias("partial_json"))
+    made = lambda delta: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), "index", delta.alias("delta")))
+    data = F.when(F.col("kind") == FRAME, F.col("data")).when(F.col("kind") == TEXT, made(text)).otherwise(made(tool))
+    return back.select("stream_id", "seq", "part", "event", data.alias("data"))
+
+
+def restore_stream(redactor, frames: DataFrame, sink: str, checkpoint: str, timed: bool = False):
+    """Starts a query that re-chunks and restores frames and writes them batch by batch; a batch that runs again overwrites its own."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        restored_frames(redactor, df).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+
+    return rechunk(frames, timed).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+
+
 def tokenize_stream(redactor, stream: DataFrame, id_col: str, text_col: str, sink: str, checkpoint: str, watcher=None):
     """Starts a query that tokenizes each batch and appends it to ``sink``. The vault's batch is named after the stream's, so
     a batch that runs again mints nothing new and overwrites its own output. ``watcher``: rules that may change between batches."""
@@ -155,8 +254,8 @@ def tokenize_stream(redactor, stream: DataFrame, id_col: str, text_col: str, sin
     def batch(df: DataFrame, n: int) -> None:
         if watcher is not None:
             redactor.rules = watcher.check()
-        done = redactor.tokenize(df, id_col, text_col, name=f"stream-{n}")
-        done.rows.write.mode("overwrite").parquet(f"{sink}/rows/batch={n}")
-        done.rejects.write.mode("overwrite").parquet(f"{sink}/rejects/batch={n}")
+        with redactor.tokenize(df, id_col, text_col, name=f"stream-{n}") as done:
+            done.rows.write.mode("overwrite").parquet(f"{sink}/rows/batch={n}")
+            done.rejects.write.mode("overwrite").parquet(f"{sink}/rejects/batch={n}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)

@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 from cloakframe.operators import detect, json_body, resolve
 from cloakframe.operators.rules import Rules, Watcher
 from cloakframe.operators.vault import Vault, VaultFull
-from cloakframe.plans import redactor as plans
 from cloakframe.plans.redactor import Redactor, register_functions
 from cloakframe.sources import bodies
 from cloakframe.streaming import sse
@@ -53,12 +54,31 @@ def test_there_and_back(spark, vault):
     assert later[1] == "box/acmeco.org"  # the vault as of the beginning of the batch
 
 
-def test_known_values_by_join(spark, vault, monkeypatch):
+def test_known_values(spark, vault):
     r = Redactor(spark, vault)
-    r.tokenize(rows(spark, ["password: hunter22x", "password: 'two words 9'"]), "id", "text").rows.count()
-    monkeypatch.setattr(plans, "KNOWN", 1)
-    got = texts(r.tokenize(rows(spark, ["so hunter22x!", "hunter22xy", "x two words 9"]), "id", "text").rows)
-    assert "hunter22x" not in got[0] and got[1] == "hunter22xy" and "two words" not in got[2]
+    r.tokenize(rows(spark, ["password: hunter22x", "password: 'two words 9'", "password: 'ab1-cd'", "password: ab1-cd-ef2"]), "id", "text").rows.count()
+    got = texts(r.tokenize(rows(spark, ["so hunter22x!", "hunter22xy", "x two words 9", "x ab1-cd-ef2z y", "x ab1-cd-ef2 y", "hunter22x" * 2]), "id", "text").rows)
+    assert "hunter22x" not in got[0] and got[1] == "hunter22xy" and "two words" not in got[2] and got[5] == "hunter22x" * 2
+    # The longest value that stands alone: 'ab1-cd' does beside a hyphen, 'ab1-cd-ef2' doesn't before a letter.
+    assert got[3].endswith("-ef2z y") and "ab1-cd" not in got[3] and got[4].startswith("x FAKE-PASSWORD-") and got[4].endswith(" y") and "-ef2" not in got[4]
+
+
+def test_placeholders_that_stand_by_chance(spark, vault):
+    """A text's own '415-555-0118' is never another number's placeholder, whichever comes first."""
+    numbers = [f"call {200 + k // 100 * 10 + 2}-867-{k:04d} now" for k in range(500)]
+    chance = [f"call {area}-555-01{n:02d} now" for area in range(202, 210) for n in range(100)]
+    r = Redactor(spark, vault)
+    for batch in (numbers[:250] + chance[:400], numbers[250:] + chance[400:]):
+        done = r.tokenize(rows(spark, batch), "id", "text")
+        assert texts(r.detokenize(done.rows, "text")) == batch
+    assert vault.entries().count() == 500 and r.detokenize(rows(spark, chance), "text").select("text").exceptAll(rows(spark, chance).select("text")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["+1-555-1234 and +44 20 7946 0018", "02:00:00:aa:bb:cc 1c:02:03:04:05:06", "FAKEP1234Z ABCPK1234Z", "0000 1234 5678 and 2938 4756 1028"])
+def test_small_shapes_by_chance(spark, vault, text):
+    r = Redactor(spark, vault)
+    done = r.tokenize(rows(spark, [text]), "id", "text")
+    assert texts(r.detokenize(done.rows, "text")) == [text.replace("+44 20 7946 0018", "+442079460018")]
 
 
 def test_fails_closed(spark, vault):
@@ -106,9 +126,57 @@ def test_batches_are_repeatable(spark, vault):
     w = wanted(spark, [("10.0.0", "ip_network")])
     vault.get_or_create(w, "one")
     vault.append(vault.history(), "one")
+    vault.get_or_create(wanted(spark, [("10.0.9", "ip_network")]), "one")
     assert vault.batches() == ["one"] and vault.entries().count() == 1
 
 
+def test_a_crash_at_each_step_loses_nothing(spark, vault, monkeypatch):
+    """Whatever step of a commit is the last one, what counted before still counts, and the batch can run again."""
+    vault.get_or_create(wanted(spark, [("a", "github_token"), ("10.0.0", "ip_network")]))
+    before = {r.real: r.token for r in vault.entries().collect()}
+
+    class Crash(Exception):
+        pass
+
+    def crash(*args, **more):
+        raise Crash
+
+    for owner, step in ((vault, "_write"), (vault, "_take"), (vault, "_commit"), (os, "link")):
+        with monkeypatch.context() as m:
+            m.setattr(owner, step, crash)
+            with pytest.raises(Crash):
+                vault.get_or_create(wanted(spark, [("b", "github_token"), ("10.0.1", "ip_network")]), "batch")
+        assert {r.real: r.token for r in Vault(spark, vault.base.rpartition("/")[0]).entries().collect()} == before
+    again = {r.real: r.token for r in vault.get_or_create(wanted(spark, [("b", "github_token"), ("10.0.1", "ip_network")]), "batch").collect()}
+    assert again["10.0.1"] == "198.18.1" and vault.entries().count() == 4
+
+
+def test_two_writers(spark, vault, monkeypatch):
+    """A writer that comes second mints anew on what the first one did; both batches count."""
+    other, mint, first = Vault(spark, vault.base.rpartition("/")[0]), vault.mint, []
+
+    def late(*args):
+        done = mint(*args)
+        if not first:
+            first.append({r.real: r.token for r in other.get_or_create(wanted(spark, [("a", "github_token"), ("10.0.1", "ip_network")]), "other").collect()})
+        return done
+
+    monkeypatch.setattr(vault, "mint", late)
+    own = {r.real: r.token for r in vault.get_or_create(wanted(spark, [("a", "github_token"), ("10.0.2", "ip_network")]), "own").collect()}
+    assert vault.batches() == ["other", "own"] and own["a"] == first[0]["a"] and first[0]["10.0.1"] == "198.18.0" and own["10.0.2"] == "198.18.1"
+    assert vault.entries().count() == 3 == vault.entries().select("token").distinct().count()
+
+
+def test_compaction_and_salt(spark, vault, tmp_path):
+    for k in range(3):
+        vault.get_or_create(wanted(spark, [(f"v{k}", "github_token")]), f"n{k}")
+    before = sorted(map(tuple, vault.history().collect()))
+    vault.compact()
+    assert len(vault.state()[1]) == 1 and vault.batches() == ["n0", "n1", "n2"] and sorted(map(tuple, vault.history().collect())) == before
+    assert len(vault.salt) == 64 and Vault(spark, vault.base.rpartition("/")[0]).salt == vault.salt
+    assert Vault(spark, f"file://{tmp_path}/else").salt != vault.salt
+
+
 def test_small_spaces_and_full_ones(spark, vault):
     many = spark.range(3000).selectExpr("concat('v', id) AS real", "'phone' AS entity_type", "id AS place")
     got = vault.get_or_create(many)
@@ -176,25 +244,86 @@ def frames(text, size, index=0):
     yield {"type": "content_block_stop", "index": index}
 
 
+def numbered(stream_id, events):
+    return [json.dumps({"stream_id": stream_id, "seq": k, "event": e["type"], "data": json.dumps(e)}) for k, e in enumerate(events)]
+
+
+def run_stream(query):
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema("stream_id string, seq long, event string, data string").option("maxFilesPerTrigger", 1).json(str(folder))
+
+
 @pytest.mark.parametrize("size", [1, 3, 50])
 def test_rechunk(spark, tmp_path, size):
-    """Placeholders that arrive in pieces leave in one, and what leaves is what came."""
+    """Placeholders that arrive in pieces leave in one, and what leaves is what came, in whatever order its batches come."""
     token = "ghp_FAKE" + "0123456789abcdef" * 2
-    text = f"a {token} b -----BEGIN REDACTED PRIVATE KEY-----\n{'0f' * 24}\n-----END REDACTED PRIVATE KEY----- end {token}"
-    lines = [json.dumps({"stream_id": s, "seq": k, "event": "", "data": json.dumps(f)}) for s in ("s1", "s2") for k, f in enumerate([*frames(text, size), {"type": "message_stop"}])]
+    pem = f"-----BEGIN REDACTED PRIVATE KEY-----\n{'0f' * 24}\n-----END REDACTED PRIVATE KEY-----"
+    text = f"a {token} b {pem} 0000 1234 5678 end {token}"
+    lines = [x for s in ("s1", "s2") for x in numbered(s, [*frames(text, size), {"type": "message_stop"}])]
     (tmp_path / "in").mkdir()
     half = len(lines) // 2 + 3
-    (tmp_path / "in" / "0.json").write_text("\n".join(lines[:half]))
-    (tmp_path / "in" / "1.json").write_text("\n".join(lines[half:]))
-    stream = spark.readStream.schema("stream_id string, seq long, event string, data string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = sse.rechunk(stream)
+    for k, part in enumerate((lines[half:], lines[:half], lines[half - 2 : half + 2])):  # the later half first, then some frames again
+        file = tmp_path / "in" / f"{k}.json"
+        file.write_text("\n".join(part))
+        os.utime(file, (1_000_000 + k, 1_000_000 + k))
     name = f"chunks{size}"
-    query = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = spark.table(name).orderBy("stream_id", "seq").collect()
+    run_stream(sse.rechunk(stream_of(spark, tmp_path / "in")).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")))
+    got = spark.table(name).orderBy("stream_id", "seq", "part").collect()
     for s in ("s1", "s2"):
         parts = [r.text for r in got if r.stream_id == s]
-        assert "".join(parts) == text and sum(token in p for p in parts) >= 1 and any("-----BEGIN" in p and "-----END" in p for p in parts)
+        assert "".join(parts) == text
+        for whole, n in ((token, 2), (pem, 1), ("0000 1234 5678", 1)):
+            assert sum(p.count(whole) for p in parts) == n
+        assert [json.loads(r.data)["type"] for r in got if r.stream_id == s and r.kind == "frame"] == ["content_block_start", "content_block_stop", "message_stop"]
+
+
+def test_restored_stream(spark, tmp_path, vault):
+    """What a client puts together from restored frames is what was tokenized; all other frames come through."""
+    r = Redactor(spark, vault)
+    texts_in = [f"use {KEY} at mail.acmeco.com, 10.1.2.3", "call 415-867-5309 and\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- x"]
+    hidden = texts(r.tokenize(rows(spark, texts_in), "id", "text").rows)
+    tool = json.dumps({"cmd": hidden[0], "n": [1.25, {"k": hidden[1]}]}).replace("1.25", "1.250")
+    start = lambda i, kind, **more: {"type": "content_block_start", "index": i, "content_block": {"type": kind, **more}}
+    events = [{"type": "message_start"}, start(0, "thinking"), {"type": "content_block_delta", "index": 0, "delta": {"type": "thinking_delta", "thinking": hidden[0]}}, {"type": "content_block_stop", "index": 0}]
+    events += [*frames(hidden[0], 4, 1), start(2, "tool_use", name="t")]
+    events += [{"type": "content_block_delta", "index": 2, "delta": {"type": "input_json_delta", "partial_json": tool[k : k + 5]}} for k in range(0, len(tool), 5)]
+    events += [{"type": "content_block_stop", "index": 2}, start(3, "text", text=hidden[1]), {"type": "error"}]
+    (tmp_path / "in").mkdir()
+    lines = numbered("s", events)
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines[k::3]))
+    run_stream(sse.restore_stream(r, stream_of(spark, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")))
+    out = [json.loads(x.data) for x in spark.read.parquet(str(tmp_path / "out")).orderBy("seq", "part").collect()]
+    of = lambda i, name: "".join(e["delta"].get(name, "") for e in out if e["type"] == "content_block_delta" and e["index"] == i)
+    assert of(1, "text") == texts_in[0] and of(3, "text") == texts_in[1] and of(0, "thinking") == hidden[0]
+    assert json.loads(of(2, "partial_json")) == {"cmd": texts_in[0], "n": [1.25, {"k": texts_in[1]}]} and "1.250" in of(2, "partial_json")
+    assert [e["type"] for e in out if e["type"] != "content_block_delta"] == [e["type"] for e in events if e["type"] != "content_block_delta"]
+    assert [e for e in out if e["type"] == "content_block_start"][3]["content_block"]["text"] == ""
+
+
+def test_gaps_and_limits(monkeypatch):
+    frame = lambda seq, event: (seq, *(lambda e: (e[0], e[1], e[2], e[3]))(sse.read_event(json.dumps(event))), event["type"], json.dumps(event))
+    events = [*frames("one two three", 4)]
+    s = sse.Stream("s", None)
+    s.come([frame(k, e) for k, e in enumerate(events) if k != 2])
+    held = sse.Stream("s", s.held())
+    assert len(held.wait) == len(events) - 3 and not held.come([frame(0, events[0])])
+    held.give_up()
+    assert "".join(x[5] for x in s.out + held.out) == "one three"
+    monkeypatch.setattr(sse, "WAITING", 2)
+    s = sse.Stream("s", None)
+    s.come([frame(k, e) for k, e in enumerate(events) if k != 1])
+    assert "".join(x[5] for x in s.out) == "two three"
+    monkeypatch.setattr(sse, "BODY_BYTES", 10)
+    s = sse.Stream("s", None)
+    tool = [{"type": "content_block_start", "index": 0, "content_block": {"type": "tool_use"}}]
+    tool += [{"type": "content_block_delta", "index": 0, "delta": {"type": "input_json_delta", "partial_json": "x" * 8}} for _ in range(3)] + [{"type": "content_block_stop", "index": 0}]
+    s.come([frame(k, e) for k, e in enumerate(tool)])
+    assert [(x[4], x[5]) for x in s.out if x[4] == "verbatim"] == [("verbatim", "x" * 16)] and len(s.out) == 4
 
 
 def test_stream_tokenize_is_batch_tokenize(spark, tmp_path):
@@ -218,11 +347,23 @@ def test_sql_functions(spark):
 
 
 def test_entry_without_the_optional_parts(tmp_path):
-    """The contract imports and lists the other queries when the optional subpackage is gone."""
-    repo = Path(__file__).resolve().parent.parent
-    code = (
-        f"import importlib.util as u, sys; sys.path.insert(0, {str(repo)!r}); find = u.find_spec\n"
-        "u.find_spec = lambda n, *a: None if n in ('cloakframe.llm', 'corpus_pipeline') else find(n, *a)\n"
-        "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q), q.keys()"
-    )
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+    """In a copy without the optional subpackage, with the pipeline beside it or gone too, the other queries are listed and run."""
+    repo, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    shutil.copytree(repo, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for folder in ("cloakframe/llm", "tests/llm"):
+        shutil.rmtree(copy / folder, ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q), q.keys()"
+    env = os.environ | {"PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env=env)
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=copy, env=env)
+
+
+def test_entry_hides_no_error(tmp_path):
+    """Only a missing subpackage is forgiven: an error inside of it, or of the pipeline, is raised."""
+    repo, copy = Path(__file__).resolve().parent.parent, tmp_path / "copy"
+    shutil.copytree(repo, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    (copy / "cloakframe/llm").mkdir(exist_ok=True)
+    (copy / "cloakframe/llm/__init__.py").write_text("import no_such_module")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert done.returncode and "no_such_module" in done.stderr
