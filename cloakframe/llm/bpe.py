@@ -20,14 +20,20 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, vocabulary_file
+from .ids import Store, binary, gather, joined
+
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 RUNS = tuple(regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
 CUT = re.compile(r" (?=\S)")
@@ -35,7 +41,9 @@ ODD = re.compile(r" (?=\s|\Z)")
 PIECE = 1 << 16  # characters that are fed at once
 HOLD = 4096  # characters without a safe cut after which a word is streamed
 LONG = 64  # bytes from which a word goes through the window
-CACHE = 400_000
+CACHE = 30_000  # entries of a generation of a cache
+STORE = 400_000  # different chunks whose ids are kept
+SLICE = 2 << 20  # bytes of text that are encoded before they are passed on
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,9 +66,10 @@ class Merges:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of |= {i: token.encode() for token, i in self.added.items()}
         self.first = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # Of a pair (left << BITS | right): its rank and what it becomes (rank << BITS | id), as plain numbers.
+        self.rank: dict[int, int] = {}
         for k, (a, b) in enumerate(pairs):
-            self.rank.setdefault((vocab[a], vocab[b]), (k, vocab[a + b]))
+            self.rank.setdefault(vocab[a] << BITS | vocab[b], k << BITS | vocab[a + b])
         self.lookahead = self.chain()
 
     def chain(self) -> int:
@@ -69,7 +78,8 @@ class Merges:
         lefts: dict[int, set[int]] = {}  # of a token: the tokens that its merges build first, from its left end
         best: dict[int, int] = {}  # of a token: the longest chain that ends with a merge that takes it as its left part
         longest = max(size.values())
-        for (a, b), (_, ab) in sorted(self.rank.items(), key=lambda x: x[1][0]):
+        for pair, made in sorted(self.rank.items(), key=lambda x: x[1]):
+            a, b, ab = pair >> BITS, pair & MASK, made & MASK
             reach, seen, todo = 0, set(), [b]
             while todo:
                 x = todo.pop()
@@ -85,43 +95,45 @@ class Merges:
     def word(self, data: bytes) -> list[int]:
         """The ids of a whole word: pairs are merged by rank, the leftmost first."""
         ids = [self.first[b] for b in data]
-        rank = self.rank
         if len(ids) > LONG:
             return self.long_word(ids)
-        while len(ids) > 1:
-            found = [rank.get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
-            least = min(found)
-            if least is NEVER:
-                break
+        get = self.rank.get
+        found = [get(a << BITS | b, NEVER) for a, b in pairwise(ids)]
+        while found and (least := min(found)) < NEVER:
             k = found.index(least)
-            ids[k : k + 2] = [least[1]]
-            # Further places of the same pair are merged in the next rounds: they have the same rank.
+            ids[k] = made = least & MASK
+            del ids[k + 1], found[k]
+            # Only the pairs on either side change. Further places of the same pair follow: they have the same rank.
+            if k:
+                found[k - 1] = get(ids[k - 1] << BITS | made, NEVER)
+            if k < len(found):
+                found[k] = get(made << BITS | ids[k + 1], NEVER)
         return ids
 
     def long_word(self, ids: list[int]) -> list[int]:
-        """The same with a heap of (rank, place) over a linked list."""
+        """The same with a heap of (rank and what it becomes, place, pair) over a linked list."""
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*self.rank[p], k, p) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.rank]
-        heap = [(r, k, p, m) for r, m, k, p in heap]
+        pairs = [a << BITS | b for a, b in pairwise(ids)]
+        heap = [(self.rank[p], k, p) for k, p in enumerate(pairs) if p in self.rank]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, k, p, m = heapq.heappop(heap)
+            made, k, p = heapq.heappop(heap)
             j = after[k] if alive[k] else -1
-            if j < 0 or (ids[k], ids[j]) != p:
+            if j < 0 or ids[k] << BITS | ids[j] != p:
                 continue
-            ids[k], alive[j], after[k] = m, False, after[j]
+            ids[k], alive[j], after[k] = made & MASK, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (q := (ids[a], ids[b])) in self.rank:
-                    r, x = self.rank[q]
-                    heapq.heappush(heap, (r, a, q, x))
+                if a >= 0 and b >= 0 and (q := ids[a] << BITS | ids[b]) in self.rank:
+                    heapq.heappush(heap, (self.rank[q], a, q))
         return [x for x, ok in zip(ids, alive, strict=True) if ok]
 
 
-NEVER = (1 << 60, -1)
+BITS = 24  # of an id
+MASK, NEVER = (1 << BITS) - 1, 1 << 62
 
 
 class WordStream:
@@ -152,7 +164,25 @@ class WordStream:
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Cache:
+    """What was met lately, in two generations: when the young one is full, the old one is forgotten."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        if (x := self.young.get(key)) is None and (x := self.old.get(key)) is not None:
+            self.put(key, x)
+        return x
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= CACHE:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 class Encoder:
@@ -160,8 +190,7 @@ class Encoder:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Cache(), Cache()
         self.special = re.compile("|".join(map(re.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
         self.held, self.run, self.stream = "", None, WordStream(merges)
 
@@ -220,18 +249,15 @@ class Encoder:
         if not text:
             return b""
         parts = CUT.split(text) if ODD.search(text) else text.split(" ")
-        chunks = self.chunks
-        found = list(map(chunks.get, parts[1:]))
+        found = list(map(self.chunks.young.get, parts[1:]))
         if None in found:
             for k, x in enumerate(found):
                 if x is None:
                     part = parts[k + 1]
-                    if (x := chunks.get(part)) is None:
+                    if (x := self.chunks.get(part)) is None:
                         x = self.chunk(" " + part)
                         if len(part) <= 40:
-                            if len(chunks) >= CACHE:
-                                chunks.clear()
-                            chunks[part] = x
+                            self.chunks.put(part, x)
                     found[k] = x
         return (self.chunk(parts[0]) if parts[0] else b"") + b"".join(found)
 
@@ -246,9 +272,7 @@ class Encoder:
                 return packed(stream.feed(data)) + packed(stream.finish())
             x = packed(self.merges.word(data))
             if len(data) <= 40:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                self.words[text] = x
+                self.words.put(text, x)
         return x
 
     def unspaced(self) -> bytes:
@@ -285,6 +309,51 @@ class Encoder:
         return packed(out)
 
 
+class ColumnEncoder:
+    """Many texts at once. Their chunks, which words don't reach over, are told apart first, so that each different one
+    passes the transducer once while it is remembered. Long texts and odd ones (added tokens, several spaces in a row)
+    pass it as a whole."""
+
+    ODD = r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
+
+    def __init__(self, merges: Merges):
+        self.encoder = Encoder(merges)
+        self.store, self.heads = Store(STORE), Store(STORE)
+        self.odd = "|".join([self.ODD, *map(re.escape, merges.added)])
+
+    def learn(self, before: str):
+        def each(chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            ids = [self.encoder.chunk(before + x) for x in chunks.to_pylist()]
+            return chunks, np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+
+        return each
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each one's begin and the last one's end)."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring_regex(texts, self.odd), pc.greater(pc.binary_length(texts), SLICE))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        chunks = cut.values.dictionary_encode()
+        first = cut.offsets.to_numpy()[:-1]  # the chunk that a text begins with has no space before it
+        heads = cut.values.take(pa.array(first)).dictionary_encode()
+        rest_ids, rest_at = self.store.take(self.store.find(chunks.dictionary, self.learn(" ")))
+        head_ids, head_at = self.heads.take(self.heads.find(heads.dictionary, self.learn("")))
+        index = chunks.indices.to_numpy().copy()
+        index[first] = len(chunks.dictionary) + heads.indices.to_numpy()
+        ids = np.concatenate([rest_ids, head_ids])
+        begin = np.concatenate([rest_at[:-1], len(rest_ids) + head_at])
+        stop = np.concatenate([rest_at[1:], len(rest_ids) + head_at[1:]])
+        ids, at = gather(ids, begin[index], stop[index] - begin[index])
+        at = at[cut.offsets.to_numpy()]
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(odd):
+            found = np.split(ids, at[1:-1])
+            for k in odd:
+                found[k] = np.frombuffer(self.encoder.encode(texts[int(k)].as_py()), "<u4")
+            return joined(found)
+        return ids, at
+
+
 class Decoder:
     """Ids in, text out: an incremental UTF-8 machine keeps the bytes of an unfinished character."""
 
@@ -293,7 +362,13 @@ class Decoder:
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: bytes) -> str:
-        return self.machine.decode(b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+        return self.piece(np.frombuffer(ids, "<u4"))
+
+    def piece(self, ids: np.ndarray) -> str:
+        return self.machine.decode(b"".join(map(self.table.__getitem__, ids.tolist())))
+
+    def text(self, ids: np.ndarray) -> str:
+        return "".join([self.piece(ids[s : s + PIECE]) for s in range(0, len(ids), PIECE)]) + self.finish()
 
     def finish(self) -> str:
         out = self.machine.decode(b"", True)
@@ -301,13 +376,13 @@ class Decoder:
         return out
 
 
-CODECS: dict[str, tuple[Encoder, Decoder]] = {}  # of this worker process, by the file's path
+CODECS: dict[str, tuple[ColumnEncoder, Decoder]] = {}  # of this worker process, by the file's name
 
 
-def codec(path: str) -> tuple[Encoder, Decoder]:
+def codec(path: str) -> tuple[ColumnEncoder, Decoder]:
     if path not in CODECS:
-        merges = Merges(path)
-        CODECS[path] = Encoder(merges), Decoder(merges)
+        merges = Merges(vocabulary_file(path))
+        CODECS[path] = ColumnEncoder(merges), Decoder(merges)
     return CODECS[path]
 
 
@@ -317,9 +392,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path)
         for batch in batches:
-            ids = [encoder.encode(x or "") for x in batch.column("text").to_pylist()]
-            texts = ["".join(decoder.feed(x[s : s + 4 * PIECE]) for s in range(0, len(x), 4 * PIECE)) + decoder.finish() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            for part in slices(batch, sizes, SLICE):
+                ids, at = encoder.column(part.column("text"))
+                texts = [decoder.text(ids[a:b]) for a, b in pairwise(at.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), binary(ids, at), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("id", id_col)
@@ -334,11 +411,12 @@ def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def production_path() -> str:
-    import public_tokenizers
+VOCABULARY = "byte_bpe_50k.json"
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+
+def production_path() -> str:
+    return vocabulary_file(VOCABULARY)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), production_path()))
+    return digests(round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCABULARY))

@@ -7,17 +7,19 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder's path below the cluster's shared folder.
 
-    The shared folder is ``spark.checkpoint.dir``; only a session without one (a test) gets a local one.
+    The shared folder is ``spark.checkpoint.dir``; only a session of one machine may go without, and gets a local one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
         spark.sparkContext.setCheckpointDir(base)
     return posixpath.join(base, f"{tag}-{uuid.uuid4().hex}")
@@ -31,6 +33,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever store Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def row_key(id_col: Column, text: Column) -> Column:
     """A key of a document that is never null: its id and the digest of its text (null and empty differ)."""
     return F.concat_ws(
@@ -40,15 +48,19 @@ def row_key(id_col: Column, text: Column) -> Column:
     )
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each key (``row_key``) in ``keys``; all columns stay."""
-    from pyspark.sql import Window
+def free_name(columns: list[str], base: str) -> str:
+    """A column's name that is not among ``columns``, whatever its case."""
+    held = {c.lower() for c in columns}
+    return next(n for k in range(len(held) + 1) if (n := f"__{base}{k or ''}") not in held)
 
-    name = "__cf_key"
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each key (``row_key``) in ``keys``; all columns stay, whatever their names."""
+    name, place = (free_name(docs.columns, base) for base in ("key", "place"))
     keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col)))
     kept = keyed.join(keys.select(F.col(keys.columns[0]).alias(name)), name, "left_semi")
     first = Window.partitionBy(name).orderBy(F.lit(0))
-    return kept.withColumn("__cf_n", F.row_number().over(first)).where("__cf_n = 1").drop(name, "__cf_n")
+    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(name, place)
 
 
 def vocabulary_file(name: str) -> str:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_letters
 from .common import replace_file, shared_dir, slices, store, vocabulary_file, written
+from .ids import Store, binary, gather, joined
 
 END = 2
 SCALE = 20  # bits of the frequency table's sum
@@ -280,12 +281,6 @@ def read_file(data: io.RawIOBase, size: int, table: Table) -> Iterator[tuple[obj
     yield from zip(docs.column("id").to_pylist(), pieces(docs.column("n").to_numpy(), flow), strict=True)
 
 
-def gather(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretches (start, count) of ``ids`` one after the other, and where each one of them begins and the last ends."""
-    begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
-    return ids[np.repeat(start - begin[:-1], count) + np.arange(begin[-1])], begin
-
-
 class LibraryEncoder:
     """Ids as the library gives them for whole texts.
 
@@ -328,17 +323,13 @@ class LibraryEncoder:
         self.added = "(?i)" + "|".join(map(re.escape, added)) if added else None
         self.light = Tokenizer(self.library.model)
         self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.forget()
-
-    def forget(self) -> None:
-        """The store: words and chunks, the ids of all of them, and where each one's begin and the last one's end."""
-        self.words, self.store, self.begin = pa.array([""]), np.empty(0, np.uint32), np.zeros(2, np.int64)
+        self.store = Store(self.CACHE)
 
     def ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: pa.Array) -> None:
-        """Puts the ids of new words and chunks into the store."""
+    def learn(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The ids of new words and chunks."""
         simple = pc.match_substring_regex(words, f"^(?:[{self.LETTERS}]+|[{self.MARKS}]+)$")
         own, more = words.filter(simple), words.filter(pc.invert(simple))
         plain, others = own.to_pylist(), more.to_pylist()
@@ -349,10 +340,7 @@ class LibraryEncoder:
         if len(stops) != len(plain):
             raise ValueError("the vocabulary's words can't be told apart")
         rest = self.ask(others)
-        at = len(self.store)
-        self.begin = np.concatenate([self.begin, at + stops, at + len(first) + np.cumsum([len(x) for x in rest], dtype=np.int64)])
-        self.store = np.concatenate([self.store, first, *rest])
-        self.words = pa.concat_arrays([self.words, own, more])
+        return pa.concat_arrays([own, more]), np.concatenate([first, *rest]), np.concatenate([np.diff(stops, prepend=0), [len(x) for x in rest]]).astype(np.int64)
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each one's begin and the last one's end)."""
@@ -366,20 +354,14 @@ class LibraryEncoder:
             mask = np.zeros(len(texts), bool)
             mask[odd] = True
             low = pc.if_else(pa.array(mask), "", low)
-        if len(self.words) > self.CACHE:
-            self.forget()
         cut = pc.ascii_split_whitespace(low)
         chunks = cut.values.dictionary_encode()
         plain = pc.match_substring_regex(chunks.dictionary, f"^[{self.LETTERS}{self.MARKS}]+$")
         spaced = pc.if_else(plain, pc.replace_substring_regex(chunks.dictionary, f"([{self.MARKS}]+)", r" \1 "), chunks.dictionary)
         parts = pc.ascii_split_whitespace(spaced)
         words = parts.values.dictionary_encode()
-        place = pc.index_in(words.dictionary, value_set=self.words)
-        if place.null_count:
-            self.learn(words.dictionary.filter(pc.is_null(place)))
-            place = pc.index_in(words.dictionary, value_set=self.words)
-        place = place.to_numpy()[words.indices.to_numpy()]
-        ids, at = gather(self.store, self.begin[place], self.begin[place + 1] - self.begin[place])
+        place = self.store.find(words.dictionary, self.learn)[words.indices.to_numpy()]
+        ids, at = self.store.take(place)
         at = at[parts.offsets.to_numpy()]  # of each different chunk
         index = chunks.indices.to_numpy()
         ids, at = gather(ids, at[index], (at[1:] - at[:-1])[index])
@@ -399,11 +381,6 @@ class LibraryEncoder:
         return [x.astype("<u4").tobytes() for x in np.split(ids, at[1:-1])][: len(texts)]
 
 
-def joined(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.concatenate([*each, np.empty(0, np.uint32)])
-    return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in each], dtype=np.int64)])
-
-
 ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process
 
 
@@ -437,11 +414,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, sizes, SLICE):
                 ids, at = encoder.column(part.column("text"))
                 ids = np.insert(fitted(ids, kind), at[1:], end)
-                at = (at + np.arange(len(at))) * kind.itemsize
-                if at[-1] > np.iinfo(np.int32).max:
-                    raise ValueError("a text has too many ids for one value")
-                column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), column], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), binary(ids, at + np.arange(len(at)))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")

@@ -41,6 +41,21 @@ def test_bpe_is_the_librarys(merges, piece):
         assert back == library.decode(want, skip_special_tokens=False)
 
 
+def test_columns_are_the_librarys(merges, monkeypatch):
+    """Many texts at once, with a store that forgets, and with texts that are too long for it."""
+    library = Tokenizer.from_file(bpe.production_path())
+    texts = [*odd_texts(400, 3), "a b  c", " x", "x ", "one", "one one two one", "\xa0 a \x85b", None, ""]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for store, piece in ((3, 1 << 20), (1000, 50)):
+        monkeypatch.setattr(bpe, "STORE", store)
+        monkeypatch.setattr(bpe, "SLICE", piece)
+        encoder = bpe.ColumnEncoder(merges)
+        for s in range(0, len(texts), 100):
+            ids, at = encoder.column(pa.array(texts[s : s + 100], pa.string()))
+            assert [x.tolist() for x in np.split(ids, at[1:-1])] == want[s : s + 100]
+    assert encoder.column(pa.array([], pa.string()))[1].tolist() == [0]
+
+
 def test_lookahead_is_sufficient(merges):
     """Tokens that end the lookahead before a prefix's end are those of the whole word."""
     r = random.Random(2)
