@@ -1,14 +1,19 @@
 """Line dedup by winnowing over line hashes; DataFrame functions only.
 
 A run of at least RUN lines that stands at an earlier place too is deleted. Places are ordered by (id, line number).
-Every window of RUN consecutive lines selects the smallest line hash in it (the rightmost of equal ones) as its
-fingerprint, so two equal runs of RUN lines always share one. Fingerprints that stand at two places at least are joined
-back to their positions; from there the match is extended over the windows around it, compared by 128-bit hashes of all
-of their lines, and the windows that are not the first of their kind merge into maximal runs, which are deleted.
+Every window of RUN consecutive lines selects the smallest line hash in it (the rightmost of equal ones). The selected
+positions, each once, are the document's fingerprints, about 2 in RUN + 1 lines: two equal runs of RUN lines always share
+one. Only they are written, each with the keys of the windows that selected it. Positions whose fingerprint stands elsewhere
+too are joined with the first place of each window around them; from there the match is extended to the left and to the
+right over all windows that agree, so runs become maximal, and all runs that have an earlier place are deleted.
+
+A window is known by two independent 64-bit hashes of each of its lines, so lines are told apart by 128 bits and texts are
+never compared: among 10**12 different lines one pair is confused with a chance below 10**-14.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line. Shorter repeats than RUN lines
-stay, and so do texts shorter than that. Rows that repeat an id and a text stand at the same place and are treated alike.
-A null id orders first. An empty table gives an empty result. Other columns are not read.
+stay, and so do texts shorter than that. Ties: the first place stays; rows that repeat an id stand at the same place, so
+neither of two texts under one id is ever later than the other at the same line. A null id orders first. Very long texts
+are one row of arrays of 16 bytes a line. An empty table gives an empty result. Other columns are not read.
 
 ``op1_line_dedup`` deletes runs of RUN lines, as its SQL says. ``op1_line_dedup_single`` is the same with runs of one line: every
 later line that holds more than white space goes, in texts of any number of lines; blank lines stay.
@@ -23,16 +28,16 @@ from .common import written
 
 RUN = 3
 FULL = r"[^ \t\r\f\x0B]"
+SALTS = 16  # tasks that share the rows of one fingerprint or window
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, run: int, blank: bool = True) -> DataFrame:
-    """One row per window: place (id, text hash, start), its fingerprint (hash, position), and a 128-bit key of its lines.
-
-    Unless ``blank``, windows of blank lines only are left out.
-    """
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, run: int, blank: bool = True) -> DataFrame:
+    """One row per selected position: document (id, text hash), fingerprint, first window that selected it, and the keys of
+    that one and those that follow; a key is null for a window of blank lines only, unless ``blank``."""
 
     def line(x):
-        hashes = [F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b")]
+        # The second hash is of another text, so it is independent of the first.
+        hashes = [F.xxhash64(x).alias("a"), F.xxhash64(F.concat(F.lit("#"), x)).alias("b")]
         return F.struct(*hashes) if blank else F.struct(*hashes, x.rlike(FULL).alias("full"))
 
     hashed = docs.select(
@@ -41,32 +46,50 @@ def windows(docs: DataFrame, id_col: str, text_col: str, run: int, blank: bool =
         F.transform(F.split(text_col, "\n"), line).alias("h"),
     ).where(F.size("h") >= run)
 
-    def window(s):
-        part = F.slice("h", s + 1, run)
-        least = F.array_min(F.transform(part, lambda x, j: F.struct(x["a"].alias("a"), (-(s + j)).alias("at"))))
-        return F.struct(
-            s.cast("int").alias("start"),
-            least["a"].alias("print"),
-            (-least["at"]).cast("int").alias("print_at"),
-            F.xxhash64(F.transform(part, lambda x: x["a"])).alias("k1"),
-            F.xxhash64(F.transform(part, lambda x: x["b"])).alias("k2"),
-        )
+    def selected(s):
+        least = F.array_min(F.transform(F.slice("h", s + 1, run), lambda x, j: F.struct(x["a"].alias("a"), (-(s + j)).alias("at"))))
+        return F.struct(least["a"].alias("print"), (-least["at"]).alias("at"), s.alias("start"))
 
     starts = F.sequence(F.lit(0), F.size("h") - run)
-    if not blank:
-        starts = F.filter(starts, lambda s: F.exists(F.slice("h", s + 1, run), lambda x: x["full"]))
-    return hashed.select("id", "th", F.inline(F.transform(starts, window)))
+    # Windows that select a position follow each other, so each position is named by the first of them.
+    every = hashed.withColumn("w", F.transform(starts, selected))
+    firsts = every.withColumn("p", F.filter("w", lambda x, k: (k == 0) | (F.get("w", k - 1)["at"] != x["at"])))
+
+    def key(s):
+        part = F.slice("h", s + 1, run)
+        found = F.struct(F.xxhash64(F.transform(part, lambda x: x["a"])).alias("k1"), F.xxhash64(F.transform(part, lambda x: x["b"])).alias("k2"))
+        return found if blank else F.when(F.exists(part, lambda x: x["full"]), found)
+
+    def position(x, k):
+        last = F.coalesce(F.get("p", k + 1)["start"], F.size("w")) - 1
+        return F.struct(x["print"].alias("print"), x["start"].cast("int").alias("start"), F.transform(F.sequence(x["start"], last), key).alias("keys"))
+
+    out = firsts.select("id", "th", F.inline(F.transform("p", position)))
+    return out if blank else out.where(F.exists("keys", lambda k: k.isNotNull()))
+
+
+def salted(df: DataFrame) -> DataFrame:
+    """``df`` dealt to SALTS tasks a key, by document."""
+    return df.withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int"))
+
+
+def all_salts(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, blank: bool = True) -> DataFrame:
     """(id, th, runs): the maximal runs (begin, end; lines from 0) of a document that repeat an earlier run."""
-    every = written(windows(docs, id_col, text_col, run, blank), "line-windows")
-    place = F.struct("id", "th", "print_at")
+    every = written(fingerprints(docs, id_col, text_col, run, blank), "line-prints")
+    place = F.struct("id", "th", "start")
     shared = every.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
-    matched = every.join(shared, "print", "left_semi").select("id", "th", "start", "k1", "k2", F.struct("id", "start", "th").alias("at"))
-    first = matched.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
-    later = matched.join(first.drop("last"), ["k1", "k2"]).where(F.struct("at.id", "at.start") > F.struct("first.id", "first.start"))
+    joined = salted(every).join(all_salts(shared), ["print", "salt"], "left_semi")
+    around = joined.select("id", "th", F.posexplode("keys").alias("k", "key"), "start").where("key is not null")
+    matched = around.select("id", "th", (F.col("start") + F.col("k")).alias("start"), "key.*")
+    at = F.struct("id", "start", "th")
+    first = matched.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").drop("last")
+    later = salted(matched).join(all_salts(first), ["k1", "k2", "salt"]).where(F.struct("id", "start") > F.struct("first.id", "first.start"))
     starts = later.select("id", "th", "start").distinct()
+    # Extension: a window that begins inside of, or just behind, a matched one carries its run on.
     inside = Window.partitionBy("id", "th").orderBy("start")
     islands = starts.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(inside) + run).cast("int"), F.lit(1))).withColumn(
         "island", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
