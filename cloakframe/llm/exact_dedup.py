@@ -1,13 +1,15 @@
 """Exact dedup as a stateful stream.
 
 Rows pass through Structured Streaming once. The state store (RocksDB, on disk, checkpointed to the shared folder) holds
-for each digest the identifier of the row that stays, its locator among the staged rows (which tells it from rows of the
-same id) and the number of rows; without a watermark it never expires. After the stream, the full bytes of each group with a
-hit are compared in the source, and the rows of a digest that two texts share are grouped again by the texts themselves.
+for each digest the identifier of the row that stays, its locator in the source and the number of rows; without a watermark
+it never expires. A locator is the file and the row in it where the content lies (for sources that aren't files, a number).
+After the stream, the full bytes of each hit, a digest of several rows, are compared in the source; where two texts share
+a digest, their rows are grouped again by the texts themselves. Rows that are alone with their digest are not read again:
+a filter of FILTER bits, which is all that is broadcast, keeps nearly all of them out, whatever it lets through is right.
 
 Defined cases: a null text counts as empty. Of equal texts the row with the largest id stays; null ids come last, and of
-rows that repeat an id and a text exactly one stays (the one staged last). An empty table gives an empty result. Other
-columns are not read, so their names cannot clash.
+rows that repeat an id and a text exactly one stays (that with the largest locator). Very long texts are compared whole. An
+empty table gives an empty result. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -15,18 +17,31 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, shared_dir, written
+from .common import exists, row_key, shared_dir, written
 
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no room set aside in each
+    # All stores of an executor share this much native memory, and are unloaded soon after their stream has ended.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+FILTER = 1 << 23
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and those of STORE, which no other query sees."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in STORE.items():
+        own.conf.set(k, v)
+    return own
 
 
 def keyed_state(stream: DataFrame) -> DataFrame:
@@ -42,32 +57,40 @@ def run_stream(staged: DataFrame, path: str, batches: int) -> DataFrame:
     spark = staged.sparkSession
     work = shared_dir(spark, "dedup-stream")
     files = max(1, math.ceil(len(staged.inputFiles()) / batches))
-    changed = keyed_state(spark.readStream.schema(staged.schema).option("maxFilesPerTrigger", files).parquet(path))
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    try:
-        for k, v in STORE.items():
-            spark.conf.set(k, v)
-        # A batch that runs again after a failure overwrites its own folder, so a change is never counted twice.
-        query = (
-            changed.writeStream.outputMode("update")
-            .option("checkpointLocation", f"{work}/checkpoint")
-            .trigger(availableNow=True)
-            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{work}/changes/batch={n}"))
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    try:
-        changes = spark.read.schema(changed.schema).parquet(f"{work}/changes")
-    except Exception as e:  # an empty source makes no batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    changed = keyed_state(own_session(spark).readStream.schema(staged.schema).option("maxFilesPerTrigger", files).parquet(path))
+    # A batch that runs again after a failure overwrites its own folder, so a change is never counted twice.
+    query = (
+        changed.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{work}/changes/batch={n}"))
+        .start()
+    )
+    query.awaitTermination()
+    if not exists(spark, f"{work}/changes"):  # an empty source makes no batch
         return spark.createDataFrame([], changed.schema)
+    changes = spark.read.schema(changed.schema).parquet(f"{work}/changes")
     return changes.groupBy("digest").agg(F.max_by("keep", "n").alias("keep"), F.max("n").alias("n"))
 
 
+def located(docs: DataFrame) -> Column:
+    """Where a row's content lies: file and row of a Parquet source, else a number that holds for one reading."""
+    hidden = docs._jdf.queryExecution().analyzed().metadataOutput()
+    known = [hidden.apply(k) for k in range(hidden.length())]
+    if any(x.name() == "_metadata" and "row_index" in x.dataType().fieldNames() for x in known) and "_metadata" not in docs.columns:
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
+def hits_only(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rows`` whose digest may be in ``digests``: all that are, and few others as long as FILTER bits tell them apart."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER))
+    word, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = digests.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))  # FILTER / 64 rows at most
+    held = rows.withColumn("word", word).join(F.broadcast(words), "word")
+    return held.where(F.col("bits").bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,23 +107,18 @@ def exact_dedup(
     spark = docs.sparkSession
     raw = F.col(text_col)
     text = normalise(F.coalesce(raw, F.lit("")))
-    whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(F.col(id_col), raw).alias("row_key"))
+    whole = docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(F.col(id_col), raw).alias("row_key"), located(docs).alias("locator"))
+    whole = whole.withColumn("digest", digest(F.col("text")))
     path = shared_dir(spark, "dedup-staged")
-    rows = whole.select(
-        "id",
-        digest(F.col("text")).alias("digest"),
-        F.sha2("text", 256).alias("text_sha256"),
-        "row_key",
-        F.monotonically_increasing_id().alias("locator"),
-    )
+    rows = whole.select("id", "digest", F.sha2("text", 256).alias("text_sha256"), "row_key", "locator")
     rows.write.parquet(path)
     staged = spark.read.schema(rows.schema).parquet(path)
     state = written(run_stream(staged, path, batches), "dedup-state")
 
-    # Full bytes: all texts of a digest are equal when the smallest and the largest are. Partial aggregation leaves one
-    # row of a group for each task, so a group of copies is never gathered.
-    bytes_of = whole.select(digest(F.col("text")).alias("digest"), "text")
-    ends = bytes_of.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    # Full bytes of the hits: all texts of a digest are equal when the smallest and the largest are. Partial aggregation
+    # leaves one row of a group for each task, so a group of copies is never gathered.
+    hits = state.where("n > 1").select("digest")
+    ends = hits_only(whole.select("digest", "text"), hits).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = written(ends.where("lo <> hi").select("digest"), "dedup-clash")
 
     out = staged.join(state.select("digest", "keep", "n"), "digest")
@@ -115,8 +133,8 @@ def exact_dedup(
     )
     if not clash.isEmpty():
         # Equal digests of different texts: the texts themselves take their place. No digest decides here.
-        again = whole.withColumn("digest", digest(F.col("text"))).join(clash, "digest", "left_semi")
-        again = written(again.withColumn("text_sha256", F.sha2("text", 256)).withColumn("locator", F.monotonically_increasing_id()), "dedup-again")
+        again = whole.join(clash, "digest", "left_semi").withColumn("text_sha256", F.sha2("text", 256))
+        again = written(again, "dedup-again")
         groups = again.groupBy("text").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
         told = again.join(groups, "text").select(
             "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
