@@ -327,12 +327,13 @@ def eligible(value: str) -> bool:
     return len(value) >= KNOWN_LENGTH and len(kinds) >= 2 and not set(value) & set("\n\r")
 
 
-def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = frozenset(), block: tuple[str, ...] = (), extra: tuple = ()) -> list[Detection]:
-    """All detections, in the order of the catalogue, then block patterns, then registered detectors."""
+def detect(text: str, disabled: frozenset = frozenset(), forced: frozenset = frozenset(), block: tuple[str, ...] = (), extra: tuple = (), mask: int = -1) -> list[Detection]:
+    """All detections, in the order of the catalogue, then block patterns, then registered detectors. ``mask``: a bit for
+    each detector of the catalogue that can find something."""
     out: list[Detection] = []
     low = text.lower()
     for order, d in enumerate(DETECTORS):
-        if d.name in disabled or d.name.partition(".")[0] in disabled or (d.literals and not any(x in low for x in d.literals)):
+        if not mask >> order & 1 or d.name in disabled or d.name.partition(".")[0] in disabled or (d.literals and not any(x in low for x in d.literals)):
             continue
         procedure = PROCEDURES.get(d.name)
         found = procedure(text, forced) if procedure is domain else procedure(text) if procedure else plain(d, text)

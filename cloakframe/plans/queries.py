@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import entities, hosts, numbers
-from ..functions.detectors import PROCEDURES
 from ..functions.patterns import ALLOW_LISTS, DETECTORS, PATTERNS, by_name, java_pattern, re2_pattern
 from ..operators import detect, json_body, resolve
 from ..operators.rules import CATALOGUE, Compiled, Rules
-from ..operators.vault import Vault, latest, new_values, report
+from ..operators.vault import Vault, new_values, numbered, report
 from ..sources.shared import shared_path
-from ..streaming.sse import flush_boundary
-from .plants import PLANTS, expression, planted_sql, planted_text
+from ..streaming.sse import flush_boundary, restore_stream
+from .plants import FORMS, PLANTS, RESTORED, by_row, expression, form_sql, form_text, planted_sql, planted_text
 from .redactor import Redactor
 
 SALT = "cloakframe"  # fixed, so that SQL can tell the placeholders
@@ -51,8 +51,6 @@ def only(*names: str) -> Compiled:
 def planted(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = table(spark, sf_dir, "customer").select("c_custkey", F.expr(planted_text(name)).alias("text"))
-        if name not in PROCEDURES:
-            return text.select("c_custkey", F.explode(detect.matches(F.col("text"), by_name(name))).alias("value"))
         found = text.withColumn("d", F.explode(detect.scan(F.col("text"), only(name))["dets"]))
         return found.select("c_custkey", F.expr("substring(text, d.start + 1, d.end - d.start)").alias("value"))
 
@@ -62,6 +60,18 @@ def planted(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name in PLANTS:
     query(f"detect_{_name.replace('.', '_')}", planted_sql(_name))(planted(_name))
 
+
+
+@query("detect_forms", form_sql())
+def detect_forms(spark, sf_dir):
+    """Every further form of detectors that have several, with all detectors at work, and what must not be taken for one."""
+    wanted = F.expr(by_row([f"'{d}'" for d, *_ in FORMS]))
+    text = table(spark, sf_dir, "customer").select("c_custkey", F.expr(form_text()).alias("text"), wanted.alias("detector"))
+    names = F.array(*[F.lit(d.name) for d in DETECTORS])
+    found = text.withColumn("d", F.explode(detect.scan(F.col("text"), Compiled())["dets"])).where(F.get(names, F.col("d.det_ord")) == F.col("detector"))
+    return found.select("c_custkey", "detector", F.expr("substring(text, d.start + 1, d.end - d.start)").alias("value"))
+
+
 REAL_IP = r"NOT (a = 127 OR a = 240 OR (a = 198 AND b IN (18, 19)) OR (a, b, c) IN ((192, 0, 2), (198, 51, 100), (203, 0, 113)))"
 IPS_SQL = f"""
 WITH m AS (
@@ -141,10 +151,15 @@ def phones_in_documents(spark, sf_dir):
     return rows.where(~F.contains(F.translate("value", ". ", "--"), F.lit("555-01"))).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("reserved_hosts_untouched", "SELECT count(*) AS texts, 0::BIGINT AS found FROM (SELECT url FROM pages UNION ALL SELECT text FROM documents)")
+@query(
+    "reserved_hosts_untouched",
+    "SELECT count(*) AS texts, count(*) FILTER (own) AS found FROM (SELECT false AS own FROM pages UNION ALL SELECT doc_id % 7 = 0 FROM documents)",
+)
 def reserved_hosts_untouched(spark, sf_dir):
-    """Hosts of all pages' URLs and all documents: reserved names only, so no detection."""
-    texts = table(spark, sf_dir, "pages").select(F.col("url").alias("text")).unionByName(table(spark, sf_dir, "documents").select("text"))
+    """Hosts of all pages' URLs and all documents, to some of which one is added: all others are reserved names, so no detection."""
+    own = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" see db.acme"), F.col("doc_id").cast("string"), F.lit(".co.uk"))).otherwise(F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("text", F.lit("")), own).alias("text"))
+    texts = table(spark, sf_dir, "pages").select(F.col("url").alias("text")).unionByName(docs)
     found = texts.select(F.size(detect.scan(F.col("text"), only("contact.email", "network.domain"))["dets"]).alias("n"))
     return found.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").cast("long").alias("found"))
 
@@ -222,9 +237,9 @@ def allow_beats_block(spark, sf_dir):
 # -- vault ------------------------------------------------------------------------------------------------------------
 
 
-def token_sql(entity: str, value: str, n: int) -> str:
+def token_sql(entity: str, value: str, n: int, generation: str = "0") -> str:
     prefix = entities.SHAPES[entity][0]
-    return f"'{prefix}' || substr(sha256('cloakframe|0|{entity}|' || {value} || '|0'), 1, {n})"
+    return f"'{prefix}' || substr(sha256('{SALT}|' || {generation} || '|{entity}|' || {value} || '|0'), 1, {n})"
 
 
 @query("vault_get_or_create", f"SELECT c_name AS real, {token_sql('github_token', 'c_name', 32)} AS token, c_custkey % 5 = 0 AS known FROM customer")
@@ -248,29 +263,43 @@ def vault_report(spark, sf_dir):
     return report(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("entity_type")))
 
 
-HISTORY = """SELECT c_name AS real, 't0-' || c_custkey AS token, 'phone' AS entity_type, CAST(NULL AS TIMESTAMP) AS first_seen, c_custkey AS seq, 0 AS generation, false AS removed FROM customer
-UNION ALL SELECT c_name, 't0-' || c_custkey, 'phone', CAST(NULL AS TIMESTAMP), c_custkey, 0, true FROM customer WHERE c_custkey % 3 = 0
-UNION ALL SELECT c_name, 't1-' || c_custkey, 'phone', CAST(NULL AS TIMESTAMP), c_custkey, 1, false FROM customer WHERE c_custkey % 6 = 0"""
+def named(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("real"), F.lit("github_token").alias("entity_type"), F.col("c_custkey").alias("place"))
 
 
 @query(
     "vault_delete",
-    f"""SELECT real, token, generation FROM (SELECT *, row_number() OVER (PARTITION BY real ORDER BY generation DESC, removed DESC) AS rn FROM ({HISTORY}))
-WHERE rn = 1 AND NOT removed""",
+    f"""SELECT c_name AS real, {token_sql("github_token", "c_name", 32, "CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END")} AS token,
+CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS generation FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 6 = 0""",
 )
 def vault_delete(spark, sf_dir):
     """Removed values have no placeholder until they are seen again, then a new one."""
-    history = spark.sql(HISTORY.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
-    return latest(history).select("real", "token", "generation")
+    vault, names = Vault(spark, shared_path(spark, "vault"), salt=SALT), named(spark, sf_dir)
+    vault.get_or_create(names)
+    vault.remove(names.where("place % 3 = 0").select("real"))
+    vault.get_or_create(names.where("place % 6 = 0"))
+    return vault.entries().select("real", "token", "generation")
 
 
 @query("vault_list", "SELECT c_name AS real, rank() OVER (ORDER BY c_custkey) AS place FROM customer")
 def vault_list(spark, sf_dir):
-    """Entries in the order of first sight, each with its place. The numbers are counted by range, then within it."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("real"), "c_custkey")
-    dealt = rows.repartitionByRange("c_custkey").withColumn("part", F.spark_partition_id())
-    before = dealt.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(before, "part").select("real", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("c_custkey"))).alias("place"))
+    """Entries in the order in which their batches and values came, each with its place."""
+    vault = Vault(spark, shared_path(spark, "vault"), salt=SALT)
+    vault.get_or_create(named(spark, sf_dir).withColumn("entity_type", F.lit("ipv6_network")))
+    listed = numbered(vault.entries().select("real", "first_seen", "seq"), ["first_seen", "seq"], shared_path(spark, "listed"))
+    return listed.select("real", (F.col("n") + 1).alias("place"))
+
+
+@query(
+    "vault_lookup",
+    f"""SELECT c_name AS real, CASE WHEN c_custkey % 4 <> 0 THEN {token_sql("password", "c_name", 24)} END AS token, c_custkey % 4 <> 0 AS label_only FROM customer""",
+)
+def vault_lookup(spark, sf_dir):
+    """Lookups never mint; values that only a label gives away are listed apart."""
+    vault, names = Vault(spark, shared_path(spark, "vault"), salt=SALT), named(spark, sf_dir).withColumn("entity_type", F.lit("password"))
+    vault.get_or_create(names.where("place % 4 <> 0"))
+    own = vault.label_only().select("real", F.lit(True).alias("l"))
+    return vault.lookup(names.select("real")).join(own, "real", "left").select("real", "token", F.coalesce("l", F.lit(False)).alias("label_only"))
 
 
 # -- scalar functions -------------------------------------------------------------------------------------------------
@@ -350,25 +379,55 @@ def host_split(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", each(F.expr(SPLITS)).alias("p")).select("c_custkey", "p.*")
 
 
-@query(
-    "stream_flush_boundary",
-    "SELECT conv_id, turn, length(text) - length(regexp_extract(text, '[^ \\t\\n\\r`\"'',;()\\[\\]{}|]*\\z')) AS cut FROM conversations WHERE length(text) - length(regexp_extract(text, '[^ \\t\\n\\r`\"'',;()\\[\\]{}|]*\\z')) > length(text) - 100",
-)
-def stream_flush_boundary(spark, sf_dir):
-    """Where a buffer can be cut, where its last word is shorter than what may be held."""
+LAST = r"""regexp_extract(text, '[^ \t\n\r`"'',;()\[\]{}|]*\z')"""
+HELD = f"list_min(list_filter(range(32, 129), lambda k: strlen(right({LAST}, CAST(k AS INT))) >= 128))"
+
 
-    @F.pandas_udf("long")
-    def cut(texts):
-        return texts.map(lambda t: flush_boundary(t or ""))
+def boundary_sql(keys: str, source: str) -> str:
+    """The text is cut before its last word, or where 128 bytes of a longer word begin."""
+    return f"SELECT {keys}, length(text) - CASE WHEN strlen({LAST}) > 128 THEN {HELD} ELSE length({LAST}) END AS cut FROM ({source})"
 
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", cut("text").alias("cut"), F.length("text").alias("n"))
-    return rows.where("cut > n - 100").select("conv_id", "turn", "cut")
 
+def cut(text) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(lambda t: flush_boundary(t or "")), "long")(text)
 
-@query("dedupe_scan", "SELECT sha256(text) AS h, count(*) AS copies, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1")
+
+@query("stream_flush_boundary", boundary_sql("conv_id, turn", "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations"))
+def stream_flush_boundary(spark, sf_dir):
+    """Where a buffer can be cut."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cut("text").alias("cut"))
+
+
+@query("stream_flush_long_words", boundary_sql("doc_id", "SELECT doc_id, translate(coalesce(text, ''), ' .,;', '____') AS text FROM documents"))
+def stream_flush_long_words(spark, sf_dir):
+    """The same of words that are longer than what may be held."""
+    return table(spark, sf_dir, "documents").select("doc_id", cut(F.translate("text", " .,;", "____")).alias("cut"))
+
+
+@query("stream_restore", f"SELECT CAST(c_custkey AS VARCHAR) AS stream_id, {planted_text('vcs.github', True)} AS text, 3 AS others FROM customer")
+def stream_restore(spark, sf_dir):
+    """Tokenized texts sent as frames, a few characters each and dealt over files at random, put together after the stream."""
+    redactor, done = tokenized(spark, sf_dir, "vcs.github")
+    size = 7
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size)), lambda k: F.substring(F.col("text"), k * size + 1, F.lit(size)))
+    delta = lambda x: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), x.alias("text")).alias("delta")))
+    plain = lambda x: F.array(F.lit(json.dumps(x)))
+    events = F.concat(plain({"type": "content_block_start", "index": 0, "content_block": {"type": "text", "text": ""}}), F.transform(parts, delta), plain({"type": "content_block_stop", "index": 0}), plain({"type": "message_stop"}))
+    frames = done.rows.select(F.col("c_custkey").cast("string").alias("stream_id"), F.posexplode(events).alias("seq", "data"))
+    folder, sink = shared_path(spark, "frames"), shared_path(spark, "restored")
+    frames.select("stream_id", F.col("seq").cast("long").alias("seq"), F.get_json_object("data", "$.type").alias("event"), "data").repartition(4, F.xxhash64("data", "seq", "stream_id")).write.json(folder)
+    stream = spark.readStream.schema("stream_id string, seq long, event string, data string").option("maxFilesPerTrigger", 2).json(folder)
+    restore_stream(redactor, stream, sink, shared_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("stream_id string, seq long, part int, event string, data string").option("recursiveFileLookup", True).parquet(sink)
+    text = F.get_json_object("data", "$.delta.text")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("seq", "part", text.alias("text"))))), lambda x: x["text"]), "")
+    return got.groupBy("stream_id").agg(joined.alias("text"), F.count(F.when(F.col("event") != "content_block_delta", 1)).cast("int").alias("others"))
+
+
+@query("dedupe_scan", "SELECT sha256(text) AS h, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1")
 def dedupe_scan(spark, sf_dir):
-    """What a scan reads: each text once, whatever its copies."""
-    return table(spark, sf_dir, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
+    """What a scan reads: each text once, whatever its copies; null texts are counted together."""
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
 
 
 @query("category_catalogue", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in CATALOGUE.items()) + ") AS t(category, about)")
@@ -392,6 +451,33 @@ def json_paths(spark, sf_dir):
     return rows.select("c_custkey", F.posexplode(json_body.flatten(F.col("body"))["fields"]).alias("k", "f")).select("c_custkey", "k", F.col("f.segs")[0]["text"].alias("text"))
 
 
+#: Bodies ({K}: the row's key) and the texts of them that are scanned, in order of place.
+ROUTES = (
+    ('{"messages":[{"content":[{"type":"thinking","thinking":"t{K}"},{"type":"text","text":"a{K}"}]}]}', ("a{K}",)),
+    ('{"messages":[{"content":[{"type":"tool_result","content":"r{K}"}]}]}', ("r{K}",)),
+    ('{"messages":[{"content":[{"type":"tool_result","content":[{"type":"text","text":"x{K}"},{"type":"search_result","source":"s{K}","title":"t","content":[{"type":"text","text":"c{K}"}],"citations":{"enabled":true}}]}]}]}', ("x{K}", "s{K}", "t", "c{K}")),
+    ('{"requests":[{"custom_id":"q","params":{"messages":[{"content":"b{K}"}]}}]}', ("b{K}",)),
+    ('{"result":{"type":"succeeded","message":{"content":[{"type":"text","text":"m{K}"}]}}}', ("m{K}",)),
+    ('{"tools":[{"name":"mcp__a","description":"d{K}","input_schema":{"title":"h","properties":{"p":{"description":"e{K}","enum":["v{K}"]}}}},{"name":"own","description":"no"}]}', ("d{K}", "h", "e{K}", "v{K}")),
+    ('{"safeguards":{"type":"x","note":["g{K}"],"tool_use_ids":["id"]}}', ("g{K}",)),
+    ('{"messages":[{"content":[{"type":"tool_use","id":"i","name":"n","input":{"k{K}":{"y":["z{K}",1,null]}}}]}]}', ("k{K}", "y", "z{K}")),
+    ('{"messages":[{"content":[{"type":"image","source":{"data":"no"}},{"type":"fallback","from":{"model":"a"},"to":{"model":"b"}},{"type":"compaction","content":null}]}]}', ()),
+    ('{"messages":[{"content":"p{K}<system-reminder>## Auto Mode Active q</system-reminder>r{K}"}]}', ("p{K}", "r{K}")),
+)
+
+
+def keyed_text(text: str) -> str:
+    return "replace('{}', '{{K}}', CAST(c_custkey AS {{S}}))".format(text.replace("'", "''"))
+
+
+@query("json_routes", " UNION ALL ".join(f"SELECT c_custkey, {k} AS k, {keyed_text(t).replace('{S}', 'VARCHAR')} AS text FROM customer WHERE c_custkey % {len(ROUTES)} = {r}" for r, (_, texts) in enumerate(ROUTES) for k, t in enumerate(texts)))
+def json_routes(spark, sf_dir):
+    """Which strings of every kind of block, tool, batch and result are scanned; reminders of fixed kinds are not."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(by_row([keyed_text(b).replace("{S}", "STRING") for b, _ in ROUTES])).alias("body"))
+    texts = F.flatten(F.transform(json_body.flatten(F.col("body"))["fields"], lambda f: F.transform(F.filter(f["segs"], lambda x: x["scan"]), lambda x: x["text"])))
+    return rows.select("c_custkey", F.posexplode(texts).alias("k", "text"))
+
+
 KINDS = """CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN '{"messages":[]}' WHEN 1 THEN '{"a":1,"a":2}' WHEN 2 THEN '{"messages":[{"content":[{"type":"odd"}]}]}' WHEN 3 THEN '{"a":1} x' ELSE '{"a":' END"""
 
 
@@ -411,11 +497,20 @@ def json_tokenize_bodies(spark, sf_dir):
     return json_body.tokenize_bodies(Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT)), rows, "c_custkey", "body")[0]
 
 
+@query("json_roundtrip_bodies", f"SELECT c_custkey, {body(True)} AS body FROM customer")
+def json_roundtrip_bodies(spark, sf_dir):
+    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(body(False)).alias("body"))
+    return json_body.detokenize_bodies(redactor, json_body.tokenize_bodies(redactor, rows, "c_custkey", "body")[0], "c_custkey", "body")
+
+
 # -- there and back ---------------------------------------------------------------------------------------------------
 
 
-def tokenized(spark, sf_dir, name: str):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(planted_text(name)).alias("text"))
+def tokenized(spark, sf_dir, name: str, choose: str = "CASE WHEN c_custkey % 3 = 0 THEN {stays} ELSE {value} END"):
+    before, value, stays, after = PLANTS[name]
+    text = expression(f"{before} || {choose.replace('{stays}', stays).replace('{value}', value)} || {after}", False)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
     redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
     return redactor, redactor.tokenize(rows, "c_custkey", "text")
 
@@ -438,6 +533,58 @@ for _name in ("vcs.github", "secrets.connection_string", "contact.email", "netwo
     query(f"roundtrip_{_name.replace('.', '_')}", f"SELECT c_custkey, {planted_text(_name, True)} AS text FROM customer")(_trip)
 
 
-@query("audit_events", f"SELECT 'replacement' AS event, 'tokenize' AS direction, {expression(PLANTS['vcs.github'][1], True)} AS real, {expression(token_sql('github_token', PLANTS['vcs.github'][1], 32), True)} AS token, 'github_token' AS entity_type FROM customer WHERE c_custkey % 3 <> 0")
+@query(
+    "roundtrip_every_entity",
+    "SELECT c_custkey, true AS hidden, "
+    + expression(by_row([f"{b} || CASE WHEN c_custkey % 3 = 0 THEN {stays} ELSE {RESTORED.get(n, v)} END || {a}" for n, (b, v, stays, a) in PLANTS.items()]), True)
+    + " AS text FROM customer",
+)
+def roundtrip_every_entity(spark, sf_dir):
+    """All detectors at work on a form of each: values are gone from the tokenized text, and back after restoring."""
+    value = F.expr(expression(by_row([v for _, v, _, _ in PLANTS.values()]), False))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(by_row([planted_text(n) for n in PLANTS])).alias("text"), value.alias("value"))
+    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
+    done = redactor.tokenize(rows, "c_custkey", "text").rows.withColumn("hidden", (F.col("c_custkey") % 3 == 0) | ~F.contains("text", F.col("value")))
+    return redactor.detokenize(done, "text").select("c_custkey", "hidden", "text")
+
+
+HOST_OF = "'acme' || c_custkey || '.org'"
+HOST_TOKEN = token_sql("domain", HOST_OF, 16)
+
+
+@query(
+    "keep_unknown_paths",
+    f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'box/' || {HOST_TOKEN} || '.org and ' || {HOST_TOKEN} || '.org' ELSE 'box/' || {HOST_OF} END AS text FROM customer",
+)
+def keep_unknown_paths(spark, sf_dir):
+    """A host in a path is replaced only if the text or the vault knows it otherwise."""
+    text = f"'box/' || {HOST_OF} || CASE WHEN c_custkey % 2 = 0 THEN ' and ' || {HOST_OF} ELSE '' END"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
+    return Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT)).tokenize(rows, "c_custkey", "text").rows
+
+
+SECRET = f"'pw-' || {expression('substr({H}, 1, 12)', True)}"
+
+
+@query("known_values", f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'so ' || {token_sql('password', SECRET, 24)} || '!' ELSE 'so x' || {SECRET} END AS text FROM customer")
+def known_values(spark, sf_dir):
+    """A value that only its label gave away is found without it in a later batch, where it stands alone."""
+    redactor, _ = tokenized(spark, sf_dir, "secrets.password", "CASE WHEN false THEN {stays} ELSE {value} END")
+    text = expression("CASE WHEN c_custkey % 2 = 0 THEN 'so pw-' || substr({H}, 1, 12) || '!' ELSE 'so xpw-' || substr({H}, 1, 12) END", False)
+    return redactor.tokenize(table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text")), "c_custkey", "text").rows
+
+
+@query(
+    "tokenize_twice",
+    f"""SELECT c_custkey, 'é leak ' || CASE WHEN c_custkey % 3 = 0 THEN {expression(PLANTS["vcs.github"][2], True)}
+ELSE {expression(token_sql("github_token", PLANTS["vcs.github"][1], 32), True)} END || ' end' AS text FROM customer""",
+)
+def tokenize_twice(spark, sf_dir):
+    """Placeholders of earlier batches are never detected anew."""
+    redactor, done = tokenized(spark, sf_dir, "vcs.github")
+    return redactor.tokenize(done.rows, "c_custkey", "text").rows
+
+
+@query("audit_events", f"SELECT 'replacement' AS event, 'tokenize' AS direction, {expression(PLANTS['vcs.github'][1], True)} AS real, {expression(token_sql('github_token', PLANTS['vcs.github'][1], 32), True)} AS token, 'github_token' AS entity_type, {expression(token_sql('github_token', PLANTS['vcs.github'][1], 32), True)} AS wire_value FROM customer WHERE c_custkey % 3 <> 0")
 def audit_events(spark, sf_dir):
-    return tokenized(spark, sf_dir, "vcs.github")[1].audit.drop("wire_value")
+    return tokenized(spark, sf_dir, "vcs.github")[1].audit
