@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import free_name, written
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 24, 8
-PER_LANGUAGE, PER_TEXT = 300, 6
+PER_LANGUAGE, PER_TEXT, SURPLUS = 300, 6, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 3
 NONE = "und"
 PRED, SCORE = "__cf_lang", "__cf_score"
@@ -139,10 +140,14 @@ def held_out(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT) -> Network:
     """The network, from at most ``per_language`` different texts a language outside the held-out fold."""
     rows = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    # Copies share a hash and count once; each task passes on its first few of a language only, so no language meets in one task.
+    # Copies share a hash and count once. A language's smallest hashes lie below a bound that its number of texts tells (up
+    # to SURPLUS times as many as are wanted), so what meets in the task of a language doesn't grow with the corpus.
+    hashes = written(rows.select("lang", F.xxhash64("text").alias("h")), "lang-hashes")
+    texts = hashes.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    bound = F.when(F.col("n") > SURPLUS * per_language, -(2.0**63) + 2.0**64 * SURPLUS * per_language / F.col("n")).otherwise(F.lit(2.0**63))
+    few = hashes.join(F.broadcast(texts.select("lang", bound.alias("bound"))), "lang").where(F.col("h").cast("double") <= F.col("bound")).select("lang", "h").distinct()
     order = Window.partitionBy("lang").orderBy("h")
-    hashes = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    picked = hashes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "h")
+    picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "h")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +169,22 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net
 
 
-def annotate(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns, PRED and SCORE; each row is handled where it lies."""
+def annotate(docs: DataFrame, net: Network, text_col: str = "text", pred: str = PRED, score: str = SCORE) -> DataFrame:
+    """``docs`` with two more columns, ``pred`` and ``score``. Only the text goes to Python; the other columns stay in the JVM."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = net.predict(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, PRED, SCORE])
+    def each(texts: pa.Array) -> pa.Array:
+        names, scores = [], []
+        for s in range(0, len(texts), 200):
+            n, c = net.predict(texts.slice(s, 200).to_pylist())
+            names += n
+            scores += c
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["pred", "score"])
 
-    return docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(PRED, T.StringType()), T.StructField(SCORE, T.DoubleType())]))
+    # Not to be pushed into a filter and evaluated there once more.
+    found = F.arrow_udf(each, "struct<pred:string,score:double>").asNondeterministic()
+    name = free_name(docs.columns, "found")
+    out = docs.withColumn(name, found(F.col(text_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(name)["pred"].alias(pred), F.col(name)["score"].alias(score))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
