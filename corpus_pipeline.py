@@ -1,7 +1,11 @@
 """A corpus pipeline: each stage takes all documents that its predecessor kept and returns those that stay.
 
 Language ID, exact dedup, SimHash near-dedup, mixing, and BPE coding. All stages but the last return the columns of
-``documents``. Nulls, empty texts, repeated rows and empty tables are handled as the operators' docstrings say.
+``documents``, extra ones included, whatever their names: columns that a stage needs for itself get names that are free.
+
+Defined cases: rows without a letter (null and empty texts too) go with the first stage. Of rows that repeat an id and a
+text, exact dedup keeps one. Ties are settled by doc_id: exact dedup keeps the largest, near-dedup the smallest. Very long
+texts go through whole. A null doc_id, lang or source is a value like any other. Empty tables go through all stages.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import bpe, exact_dedup, lang_id, mixing, simhash
-from cloakframe.llm.common import keep_rows, row_key, shared_dir
+from cloakframe.llm.common import free_name, keep_rows, row_key, shared_dir
 
 #: A text whose most likely language is no more likely than this is rejected, and so is one without a letter.
 LEAST_SCORE = 0.3
@@ -20,9 +24,9 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with no clear language; each row is decided where it lies."""
-    found = lang_id.annotate(docs, lang_id.train(docs))
-    clear = (F.col(lang_id.PRED) != lang_id.NONE) & (F.col(lang_id.SCORE) > LEAST_SCORE)
-    return found.where(clear).drop(lang_id.PRED, lang_id.SCORE)
+    pred, score = free_name(docs.columns, "pred"), free_name(docs.columns, "score")
+    found = lang_id.annotate(docs, lang_id.train(docs), pred=pred, score=score)
+    return found.where((F.col(pred) != lang_id.NONE) & (F.col(score) > LEAST_SCORE)).drop(pred, score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +43,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole documents, some of them more than once (as repeated rows), until each source meets its target."""
-    took = mixing.mix(docs, cut=False).where("copies > 0").select(F.col("row_key").alias("__cf_key"), F.col("copies").alias("__cf_copies"))
+    key, copies, copy = (free_name(docs.columns, base) for base in ("key", "copies", "copy"))
+    took = mixing.mix(docs, cut=False).where("copies > 0")
     # Repeated rows of the input each have a plan of their own; the largest stands for all.
-    plan = took.groupBy("__cf_key").agg(F.max("__cf_copies").alias("__cf_copies"))
-    joined = docs.withColumn("__cf_key", row_key(F.col("doc_id"), F.col("text"))).join(plan, "__cf_key")
-    each = F.explode(F.sequence(F.lit(1), F.col("__cf_copies").cast("int")))
-    return joined.withColumn("__cf_copy", each).select(*docs.columns)
+    plan = took.groupBy(F.col("row_key").alias(key)).agg(F.max("copies").alias(copies))
+    joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(plan, key)
+    each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return joined.withColumn(copy, each).drop(key, copies, copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    return bpe.digests(bpe.round_trip(docs, bpe.production_path()))
+    return bpe.digests(bpe.round_trip(docs, bpe.VOCABULARY))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
