@@ -74,7 +74,12 @@ class Vault:
         return fs.exists(path)
 
     def _read(self, name: str) -> str:
-        return "".join(r[0] for r in self.spark.read.text(posixpath.join(self.base, name), wholetext=True).collect())
+        path, fs = self._path(name)
+        source = fs.open(path)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
 
     def _take(self, name: str, content: str) -> bool:
         """Makes the file ``name`` with all of its content, or nothing if there is one; whether it was made."""

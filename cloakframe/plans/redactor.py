@@ -6,6 +6,8 @@ open: an unknown placeholder stays. Known values and hosts in paths see the vaul
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, formats, hosts
+from ..functions.patterns import DETECTORS
 from ..operators import detect, json_body, resolve
 from ..operators.rules import Compiled, Rules
 from ..operators.vault import Vault
@@ -144,19 +147,23 @@ class Redactor:
         """(h, text, place, dets, error) of distinct texts, after the vetoes and without overlap; and (token) of the small
         placeholders that stand in the texts as they came."""
         scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "text", "place", "scan.*")
-        more = None if only_block else self._known(texts, self.known_values())
+        fresh = not self.vault.state()[1]  # an empty vault knows nothing yet
+        more = None if only_block or fresh else self._known(texts, self.known_values())
         if more is not None:
             scanned = scanned.join(more, "h", "left").withColumn("dets", F.when(F.col("more").isNull(), F.col("dets")).otherwise(F.concat("dets", "more"))).drop("more")
         scanned = scanned.persist()
         cached.append(scanned)
-        marks = scanned.select("h", F.explode("marks").alias("m")).select("h", "m.*").join(self.vault.spans(), "token", "left_semi")
-        real = marks.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("held"))
-        paths = scanned.select("h", F.explode(F.filter("dets", lambda d: d["preserve"])).alias("d")).select("h", F.explode("d.lookups.real").alias("real"))
-        known = paths.join(self.vault.entries().select("real"), "real", "left_semi").groupBy("h").agg(F.collect_set("real").alias("known"))
-        joined = scanned.join(real, "h", "left").join(known, "h", "left")
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        dets = resolve.placeholder_veto(resolve.allow_veto(F.col("dets"), rules.allow), F.coalesce("held", none))
-        found = joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), F.col("known"))).select("h", "text", "place", "dets", "error")
+        dets = resolve.allow_veto(F.col("dets"), rules.allow)
+        if fresh:
+            joined, known = scanned, F.lit(None)
+        else:
+            marks = scanned.select("h", F.explode("marks").alias("m")).select("h", "m.*").join(self.vault.spans(), "token", "left_semi")
+            real = marks.groupBy("h").agg(F.collect_list(F.struct("start", "end")).alias("held"))
+            paths = scanned.select("h", F.explode(F.filter("dets", lambda d: d["preserve"])).alias("d")).select("h", F.explode("d.lookups.real").alias("real"))
+            stored = paths.join(self.vault.entries().select("real"), "real", "left_semi").groupBy("h").agg(F.collect_set("real").alias("known"))
+            joined, known = scanned.join(real, "h", "left").join(stored, "h", "left"), F.col("known")
+            dets = resolve.placeholder_veto(dets, F.coalesce("held", F.array().cast("array<struct<start:int,end:int>>")))
+        found = joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), known)).select("h", "text", "place", "dets", "error")
         return found, scanned.select(F.explode("standing").alias("token")).distinct()
 
     def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None, cached: list[DataFrame]) -> DataFrame:
@@ -207,16 +214,68 @@ class Redactor:
         return joined.withColumn(text_col, back).select(*df.columns)
 
 
-def register_functions(spark: SparkSession, rules: Rules | None = None) -> None:
-    """SQL functions: ``detect(text)`` (array of detections), ``placeholder_candidates(text)``."""
+def differences(before: DataFrame, after: DataFrame, id_col: str, text_col: str, around: int = 20) -> DataFrame:
+    """(id, at, before, after) of the rows whose texts differ: where they first do, and some characters of each from there."""
+
+    def first(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(os.path.commonprefix([x or "", y or ""])) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    pairs = before.select(id_col, F.col(text_col).alias("a")).join(after.select(id_col, F.col(text_col).alias("b")), id_col, "full")
+    found = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).withColumn("at", F.pandas_udf(first, "long")("a", "b"))
+    part = lambda c: F.substring(F.col(c), (F.col("at") + 1).cast("int"), F.lit(around))
+    return found.select(id_col, "at", part("a").alias("before"), part("b").alias("after"))
+
+
+SNAPSHOT = 200_000  # entries of a vault that SQL functions take along; beyond that the Redactor's joins are the way
+
+
+def register_functions(spark: SparkSession, rules: Rules | None = None, vault: Vault | None = None) -> None:
+    """SQL functions: ``detect(text)`` (array of detections), ``detections(text)`` (a table function, a row for each),
+    ``placeholder_candidates(text)``; with a vault of at most SNAPSHOT entries ``tokenize(text)`` and ``detokenize(text)``.
+
+    These two know the vault as of now. ``tokenize`` mints nothing: a text with a value that has no placeholder yet is an
+    error, so nothing leaves unredacted. The Redactor mints, and works on vaults of any size.
+    """
     compiled = (rules or Rules()).compiled()
 
-    @F.pandas_udf("array<struct<start:int,end:int,category:int,value:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            out.append([{"start": d.start, "end": d.end, "category": d.order, "value": t[d.start : d.end]} for d in detectors.detect(t or "", compiled.disabled, compiled.forced, compiled.block)])
-        return pd.Series(out)
+    def found(text: str | None) -> list[detectors.Detection]:
+        return detectors.detect(text or "", compiled.disabled, compiled.forced, compiled.block)
 
-    spark.udf.register("detect", F.pandas_udf(hosts.shipped(found.func), found.returnType))
+    def listed(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": d.start, "end": d.end, "category": d.order, "value": t[d.start : d.end]} for d in found(t)] for t in texts])
+
+    class Detections:
+        def eval(self, text: str | None):
+            for d in found(text):
+                yield d.start, d.end, DETECTORS[d.order].name if d.order < len(DETECTORS) else "custom", text[d.start : d.end]
+
+    spark.udf.register("detect", F.pandas_udf(hosts.shipped(listed), "array<struct<start:int,end:int,category:int,value:string>>"))
     spark.udf.register("placeholder_candidates", F.pandas_udf(_candidates, "array<string>"))
+    spark.udtf.register("detections", F.udtf(Detections, returnType="start int, end int, category string, value string"))
+    if vault is None:
+        return
+    rows = vault.entries().select("real", "token").limit(SNAPSHOT + 1).collect()
+    if len(rows) > SNAPSHOT:
+        raise ValueError(f"the vault has over {SNAPSHOT} entries: use the Redactor")
+    token_of, real_of = {r["real"]: r["token"] for r in rows}, {r["token"]: r["real"] for r in rows}
+    allowed = re.compile(compiled.allow.replace(r"\z", r"\Z")) if compiled.allow else None
+
+    def hidden(text: str | None) -> str | None:
+        if text is None:
+            return None
+        marks = [(s, e) for s, e, t in formats.occurrences(text) if t in real_of]
+        spans, at = [], 0
+        for d in sorted(found(text), key=lambda d: (d.start, d.start - d.end, d.order)):
+            vetoed = any(s < d.end and d.start < e for s, e in marks) or (allowed and any(allowed.match(r) for r, _ in d.lookups))
+            kept = d.keep and not all(r in token_of for r, _ in d.lookups)
+            if d.start < at or vetoed or kept:
+                continue
+            if any(r not in token_of for r, _ in d.lookups):
+                raise ValueError("a value without a placeholder: let the Redactor mint one first")
+            spans.append((d.start, d.end, formats.replacement(d.kind, d.before, d.after, [token_of[r] for r, _ in d.lookups])))
+            at = d.end
+        return formats.splice(text, spans)
+
+    each = lambda f: F.pandas_udf(hosts.shipped(lambda texts: pd.Series([f(t) for t in texts], dtype=object)), "string")
+    spark.udf.register("tokenize", each(hidden))
+    spark.udf.register("detokenize", each(lambda t: t if t is None else formats.restore(t, real_of)))

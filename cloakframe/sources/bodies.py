@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BODY_BYTES = 64 << 20
@@ -17,7 +17,7 @@ LINE_TYPES = ("application/jsonl", "application/x-ndjson", "application/ndjson",
 def read_bodies(spark: SparkSession, path: str, limit: int = BODY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(path, body) of whole files, gzip ones inflated up to ``limit`` bytes; and (path, error) of those that are refused."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    read = files.withColumn("__b", inflate(F.col("content"), limit)).select("path", "__b.*").persist()
+    read = files.withColumn("__b", inflate(F.col("content"), limit)).select("path", "__b.*")
     return read.where("error is null").select("path", "body"), read.where("error is not null").select("path", "error")
 
 
@@ -53,9 +53,32 @@ def is_json(body: Column, media_type: Column) -> Column:
     return (kind == "application/json") | kind.endswith("+json") | kind.isin(*LINE_TYPES) | begins.isin("{", "[")
 
 
+def stream_bodies(spark: SparkSession, path: str, limit: int = BODY_BYTES, at_once: int = 16) -> DataFrame:
+    """(path, body, error) of files as they come, ``at_once`` in a batch: those that wait stay where they lie."""
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", at_once).load(path)
+    return files.withColumn("__b", inflate(F.col("content"), limit)).select("path", "__b.*")
+
+
+def write_bodies(bodies: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
+    """Bodies that go on: gzip JSON lines of all columns, in files of bounded size."""
+    bodies.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path, compression="gzip")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no within its file's split, line): JSON lines, blank ones kept."""
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """(path, line_no from 0, line): JSON lines, blank ones kept. Lines are counted by split, so they need not move."""
+    rows = spark.read.text(path).select(
+        F.input_file_name().alias("path"), F.input_file_block_start().alias("__block"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line")
+    )
+    ahead = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))  # a row a split
+    starts = splits.select("path", "__block", "__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), ["path", "__block"]).select("path", (F.col("__start") + F.col("__id") - F.col("__first")).alias("line_no"), "line")
+
+
+def restore_lines(redactor, lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Lines with the values back in their JSON values' strings; blank lines and what isn't JSON stay as they are."""
+    return redactor.detokenize(lines, line_col, F.lit(True))
 
 
 def parse_frames(text: Column) -> Column:

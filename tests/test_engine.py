@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import detectors
 from cloakframe.functions.patterns import DETECTORS
-from cloakframe.operators import detect, json_body, resolve
+from cloakframe.operators import admin, detect, json_body, resolve
 from cloakframe.operators.rules import Rules, Watcher
 from cloakframe.operators.vault import Vault, VaultFull
 from cloakframe.plans import plants
-from cloakframe.plans.redactor import Redactor, register_functions
+from cloakframe.plans.redactor import Redactor, differences, register_functions
 from cloakframe.sources import bodies
 from cloakframe.streaming import sse
 
@@ -374,9 +374,65 @@ def test_stream_tokenize_is_batch_tokenize(spark, tmp_path):
     assert got == sorted((x.text or "") for x in want.rows.collect())
 
 
-def test_sql_functions(spark):
+def test_sql_functions(spark, vault):
+    text = f"{KEY} 10.1.2.3 at mail.acmeco.co.uk, box/otherco.org"
     register_functions(spark)
     assert spark.sql(f"SELECT size(detect('{KEY} 10.1.2.3')) AS n").first().n == 2
+    got = spark.sql(f"SELECT category, value FROM detections('{text}') ORDER BY start").collect()
+    assert [tuple(r) for r in got][:3] == [("vcs.github", KEY), ("network.ipv4", "10.1.2.3"), ("network.domain", "mail.acmeco.co.uk")]
+    r = Redactor(spark, vault)
+    want = texts(r.tokenize(rows(spark, [text]), "id", "text").rows)[0]
+    register_functions(spark, vault=vault)
+    rows(spark, [text, None, want]).createOrReplaceTempView("t")
+    assert [x[0] for x in spark.sql("SELECT tokenize(text) FROM t ORDER BY id").collect()] == [want, None, want]
+    assert [x[0] for x in spark.sql("SELECT detokenize(tokenize(text)) FROM t ORDER BY id").collect()] == [text, None, text]
+    with pytest.raises(Exception, match="without a placeholder"):
+        spark.sql("SELECT tokenize('10.9.9.9')").collect()
+
+
+def test_lines_and_differences(spark, tmp_path, vault):
+    r = Redactor(spark, vault)
+    hidden = texts(r.tokenize(rows(spark, [f"use {KEY}"]), "id", "text").rows)[0]
+    lines = [json.dumps({"k": hidden, "n": k}) if k % 3 else "" for k in range(3000)]
+    for name in ("a", "b"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = bodies.restore_lines(r, bodies.read_lines(spark, str(tmp_path / "in"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({x.path for x in got}) == 2 and len(got) == 6000
+    for x in got:
+        assert x.line == (json.dumps({"k": f"use {KEY}", "n": x.line_no}) if x.line_no % 3 else "")
+    a, b = rows(spark, ["same", "abcXdef", None, "x"]), rows(spark, ["same", "abcYdef", "", "x"])
+    assert sorted(map(tuple, differences(a, b, "id", "text").collect())) == [(1, 3, "Xdef", "Ydef"), (2, 0, None, "")]
+
+
+def test_bodies_as_they_come(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"k":{k}}}')
+    out = bodies.stream_bodies(spark, str(tmp_path / "in"), at_once=2)
+    run_stream(out.writeStream.foreachBatch(lambda df, n: bodies.write_bodies(df.withColumn("n", F.lit(n)), str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")))
+    got = spark.read.json(str(tmp_path / "out"))
+    assert got.count() == 5 and got.select("n").distinct().count() == 3
+
+
+def test_administration(spark, vault, tmp_path):
+    vault.get_or_create(wanted(spark, [("alpha", "github_token"), ("beta", "password")]))
+    token = admin.show(vault, "alpha")["token"]
+    assert token.startswith("ghp_FAKE") and admin.show(vault, "nobody") is None
+    assert [r.real for r in admin.tokens(vault, holding="BET").collect()] == ["beta"] and admin.tokens(vault, "github_token").count() == 1
+    assert admin.remove(vault, [token, "nobody"]) == ["alpha"] and admin.tokens(vault).count() == 1 and vault.spans().count() == 2
+    path = str(tmp_path / "rules.json")
+    assert admin.change_rules(path, lambda r: r.add("block", "acme")) and admin.rules_listed(path) == [("block", "acme", False)]
+    with pytest.raises(ValueError):
+        admin.change_rules(path, lambda r: r.add("allow", "ACME"))
+    with pytest.raises(ValueError):
+        Rules(block=[{"value": "(?P<n>x)(?P=n)", "regex": True}]).validate(spark)
+    assert admin.rules_listed(path) == [("block", "acme", False)]
 
 
 def test_entry_without_the_optional_parts(tmp_path):
