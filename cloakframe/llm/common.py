@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import posixpath
 import tempfile
@@ -48,6 +51,19 @@ def row_key(id_col: Column, text: Column) -> Column:
     )
 
 
+MAYBE, SIEVE = "__maybe", 1 << 23
+
+
+def sieved(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """``rows`` with MAYBE: whether their ``digest`` may be in ``digests``. True for all that are, and for few others as long
+    as SIEVE bits tell them apart."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(SIEVE))
+    word, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = digests.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))  # SIEVE / 64 rows at most
+    held = rows.withColumn("__word", word).join(F.broadcast(words), "__word", "left")
+    return held.withColumn(MAYBE, F.coalesce(F.col("__bits").bitwiseAND(mask) != 0, F.lit(False))).select(*rows.columns, MAYBE)
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A column's name that is not among ``columns``, whatever its case."""
     held = {c.lower() for c in columns}
@@ -63,6 +79,28 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col
     return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(name, place)
 
 
+HELD: dict[str, dict] = {}  # of this worker process, which Spark may use again for another operator
+
+
+def held_for(owner: str) -> dict:
+    """What ``owner`` keeps in this worker between tasks. What other operators kept here is let go, back to the system."""
+    others = [k for k in HELD if k != owner]
+    for k in others:
+        del HELD[k]
+    if others:
+        let_go()
+    return HELD.setdefault(owner, {})
+
+
+def let_go() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def vocabulary_file(name: str) -> str:
     """The path of a vocabulary on this machine: ``name`` itself, or that of a public tokenizer's file of that name."""
     if os.path.exists(name):

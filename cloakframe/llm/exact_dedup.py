@@ -5,7 +5,8 @@ for each digest the identifier of the row that stays, its locator in the source
 it never expires. A locator is the file and the row in it where the content lies (for sources that aren't files, a number).
 After the stream, the full bytes of each hit, a digest of several rows, are compared in the source; where two texts share
 a digest, their rows are grouped again by the texts themselves. Rows that are alone with their digest are not read again:
-a filter of FILTER bits, which is all that is broadcast, keeps nearly all of them out, whatever it lets through is right.
+a filter of a million bytes (``sieved``), which is all that is broadcast, keeps nearly all of them out; what it lets through
+is compared, so it never decides.
 
 Defined cases: a null text counts as empty. Of equal texts the row with the largest id stays; null ids come last, and of
 rows that repeat an id and a text exactly one stays (that with the largest locator). Very long texts are compared whole. An
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, row_key, shared_dir, written
+from .common import MAYBE, exists, row_key, shared_dir, sieved, written
 
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -33,7 +34,6 @@ STORE = {
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
-FILTER = 1 << 23
 
 
 def own_session(spark: SparkSession) -> SparkSession:
@@ -82,15 +82,6 @@ def located(docs: DataFrame) -> Column:
     return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
 
 
-def hits_only(rows: DataFrame, digests: DataFrame) -> DataFrame:
-    """``rows`` whose digest may be in ``digests``: all that are, and few others as long as FILTER bits tell them apart."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER))
-    word, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    words = digests.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))  # FILTER / 64 rows at most
-    held = rows.withColumn("word", word).join(F.broadcast(words), "word")
-    return held.where(F.col("bits").bitwiseAND(mask) != 0).select(*rows.columns)
-
-
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -118,7 +109,7 @@ def exact_dedup(
     # Full bytes of the hits: all texts of a digest are equal when the smallest and the largest are. Partial aggregation
     # leaves one row of a group for each task, so a group of copies is never gathered.
     hits = state.where("n > 1").select("digest")
-    ends = hits_only(whole.select("digest", "text"), hits).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    ends = sieved(whole.select("digest", "text"), hits).where(F.col(MAYBE)).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = written(ends.where("lo <> hi").select("digest"), "dedup-clash")
 
     out = staged.join(state.select("digest", "keep", "n"), "digest")

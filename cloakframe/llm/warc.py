@@ -9,7 +9,8 @@ others are revisit records that name it and keep its HTTP header, whose Content-
 
 Defined cases: a null payload is empty; a null url is an empty one; a null id is left out of the header and read back as
 null, and is never what others refer to unless the group has no other id, in which case all of them are responses. Rows
-that repeat an id and a payload are responses alike, as a record can't revisit itself. An empty table writes no archive.
+that repeat an id and a payload are responses alike, as a record can't revisit itself. Very long payloads are compressed
+and read back as one record, in the memory that their row takes. An empty table writes no archive.
 Columns other than id, url and payload are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_file, shared_dir, store, written
+from .common import MAYBE, replace_file, shared_dir, sieved, store, written
 
 REVISIT_BYTES = 100
 PIECE = 1 << 20
@@ -146,7 +147,12 @@ def decide(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Dat
     ).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= REVISIT_BYTES
     first = rows.where(large).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "digest", "left").select("id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).when(F.col("id").isNull(), F.col("first")).alias("first"))
+    first = written(first, "warc-first")
+    # Only payloads that may stand more than once move; a digest with many rows is split over tasks by adaptive execution.
+    known = sieved(rows, first.select("digest"))
+    alone = known.where(~F.col(MAYBE)).withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    met = known.where(F.col(MAYBE)).join(first, "digest", "left")
+    return alone.unionByName(met.select(*alone.columns)).select("id", "url", "payload", "digest", F.when(F.col("first") != F.col("id"), F.col("first")).when(F.col("id").isNull(), F.col("first")).alias("first"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: int = 6) -> DataFrame:
