@@ -12,9 +12,12 @@ Buckets over CAP are dealt into parts, of which any two meet in one task, so non
 only are indexed; equal ones are linked by their value. Components come from large-star and small-star rounds over the
 stars, each round a table in the shared folder.
 
+Joins of rows with their fingerprint's component, and of links with a node's smallest neighbour, are between plain tables,
+so Spark's adaptive execution splits a fingerprint that many rows share, or a node with many links, over tasks.
+
 Defined cases: null and blank texts have fingerprint 0, linked like any other; texts of fewer words than a shingle are one
 shingle. Rows that repeat an id are linked if their fingerprints are. Null ids take part; a component's id is its
-smallest id that isn't null. An empty table gives an empty result. Other columns are not read.
+smallest id that isn't null. Very long texts are hashed whole, 65,536 shingles at a time. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import held_for, row_key, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -36,6 +39,7 @@ CAP = 200_000
 FAN = 8
 PAIRS = 1 << 20
 ROWS = 1 << 18
+ROUNDS = 64
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -63,6 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
     rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_for("simhash")
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row_key"), pa.array(fps.view(np.int64))], names=["id", "row_key", "fp"])
@@ -221,22 +226,27 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: tuple = BLOCKS, cap: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) with v the smallest node of u's component, for all u but the smallest; by large-star and small-star rounds."""
+    """(u, v) with v the smallest node of u's component, for all u but the smallest; by large-star and small-star rounds.
+
+    A round halves the longest way to a component's smallest node or better, so ROUNDS suffices for any number of nodes."""
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
     mark = None
-    while True:
+    for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(smallest(large), "u")
+        least = written(smallest(both), "simhash-least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "simhash-large-stars")
+        small = large.join(written(smallest(large), "simhash-least"), "u")
         stars = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = written(stars.distinct(), "simhash-stars")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             return edges
         mark = now
+    raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
 
 
 def simhash_groups(
@@ -251,7 +261,7 @@ def simhash_groups(
     linked = groups.join(nodes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     found = linked.join(least, "root").select("fp", "component")
-    known = groups.join(found, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    known = written(groups.join(found, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-known")
     return rows.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")
 
 
