@@ -129,7 +129,9 @@ FROM documents d LEFT JOIN s USING (doc_id)
 def ipv4_tokenize_documents(spark, sf_dir):
     """Documents with their IPv4 networks replaced: only rows with a match are joined, so texts without one don't move twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = ipv4_matches(docs)
+    matches, path = ipv4_matches(docs), shared_path(spark, "ipv4-found")
+    matches.write.parquet(path)  # texts are searched once
+    found = spark.read.schema(matches.schema).parquet(path)
     new = found.join(ipv4_slots(found), "network").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.concat_ws(".", "token", "host")))).alias("new"))
     java = java_pattern(PATTERNS["ipv4"])
     old = F.regexp_extract_all("text", F.lit(java), F.lit(0))
@@ -146,9 +148,9 @@ PHONE = quoted(by_name("contact.phone").pattern)
 SELECT doc_id, value, count(*) AS n FROM m WHERE NOT contains(replace(replace(value, '.', '-'), ' ', '-'), '555-01') GROUP BY doc_id, value""",
 )
 def phones_in_documents(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(java_pattern(by_name("contact.phone").pattern)), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value"))
-    return rows.where(~F.contains(F.translate("value", ". ", "--"), F.lit("555-01"))).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("d", F.explode(detect.scan(F.col("text"), only("contact.phone"))["dets"]))
+    return found.select("doc_id", F.expr("substring(text, d.start + 1, d.end - d.start)").alias("value")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

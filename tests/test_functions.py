@@ -141,3 +141,18 @@ def test_detect_and_restore_never_fail(text):
     hidden, back = rewrite(text)
     formats.restore(hidden, back)
     assert rewrite(text)[0] == hidden
+
+
+def test_lists_of_suffixes_and_tops(tmp_path):
+    """Rules that the driver installs are the ones in use, here and in what it ships."""
+    (tmp_path / "suffixes").write_text("// a list\ncom\n*.ck\n!www.ck\nco.zz\nzz\n")
+    (tmp_path / "tops").write_text("# tops\nCOM\nZZ\nODDTOP\n")
+    before = hosts.suffix_rules()
+    try:
+        assert hosts.split_host("a.b.oddtop") is None
+        hosts.install(hosts.read_suffixes(str(tmp_path / "suffixes"), str(tmp_path / "tops")))
+        shipped = hosts.shipped(hosts.split_host)
+        hosts.install(before)
+        assert shipped("a.b.oddtop") == ("a.", "b", "oddtop") and shipped("x.acme.co.zz") == ("x.", "acme", "co.zz") and shipped("a.b.net") is None
+    finally:
+        hosts.install(before)
