@@ -146,6 +146,39 @@ def test_nearest_of_unequal_lengths(spark, lengths):
         assert hit / 1000 >= least
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_recall_at_64_dimensions(spark, two):
+    """Vectors without any direction, searched by one axis and by pairs of axes, with buckets dealt into parts."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(5000, 64)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    have = {}
+    for row in ann.nearest(df, lambda i: i % 50 == 0, cap=30, asked=7, pairs_from=1000 if two else 10**9).collect():
+        have.setdefault(row.query_id, {})[row.vec_id] = row.score
+    y = x.astype(float)
+    s = y[::50] @ y.T
+    s[np.arange(100), np.arange(0, 5000, 50)] = -np.inf
+    assert set(have) == set(range(0, 5000, 50)) and all(len(f) == 20 for f in have.values())
+    assert all(f[v] == float(ann.inner(y[[q]], y[[v]])[0]) for q, f in have.items() for v in f)
+    assert sum(len(set(have[50 * q]) & set(np.argsort(-s[q])[:20].tolist())) for q in range(100)) / 2000 >= 0.9
+
+
+def test_lengths_that_overflow(spark):
+    """A vector whose squared length is no double takes part like any other."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(300, 8))
+    x[5] *= 1e200
+    rows = ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, k=5, exact=50).collect()
+    have = {}
+    for row in rows:
+        have.setdefault(row.query_id, {})[row.rank] = row.vec_id
+    s = x[::20] @ x.T
+    s[np.arange(15), np.arange(0, 300, 20)] = -np.inf
+    up = [q for q in range(15) if s[q, 5] > 0]
+    assert up and all(have[20 * q][1] == 5 for q in up) and len(rows) == 75
+
+
 def test_nearest_of_each_dimension(spark):
     r = np.random.default_rng(5)
     x, y = r.normal(size=(400, 12)), r.normal(size=(30, 5))
