@@ -574,6 +574,27 @@ def roundtrip_standing(spark, sf_dir):
     return redactor.detokenize(redactor.tokenize(rows, "c_custkey", "text").rows, "text")
 
 
+def whole_table_trip(name: str, key: str, text: str):
+    def run(spark, sf_dir):
+        """All detectors over whole texts, and all values back."""
+        redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
+        return redactor.detokenize(redactor.tokenize(table(spark, sf_dir, name).select(*key.split(", "), text), key.partition(",")[0], text).rows, text)
+
+    query(f"roundtrip_{name}", f"SELECT {key}, {text} FROM {name}")(run)
+
+
+for _table, _key, _text in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id, turn", "text")):
+    whole_table_trip(_table, _key, _text)
+
+
+@query("detect_documents")
+def detect_documents(spark, sf_dir):
+    """What all detectors find in whole documents. No SQL: the tests hold the scan against the detectors one by one."""
+    names = F.array(*[F.lit(d.name) for d in DETECTORS])
+    found = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(detect.scan(F.col("text"), Compiled())["dets"]).alias("d"))
+    return found.select("doc_id", F.get(names, F.col("d.det_ord")).alias("detector"), "d.start", "d.end", F.expr("substring(text, d.start + 1, d.end - d.start)").alias("value"))
+
+
 HOST_OF = "'acme' || c_custkey || '.org'"
 HOST_TOKEN = token_sql("domain", HOST_OF, 16)
 
