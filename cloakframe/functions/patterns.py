@@ -114,7 +114,7 @@ PATTERNS = {
 }
 #: What a text must hold for a detector to find anything in it, beside its literals: cheap to test, and only ever too wide.
 NEEDS = {
-    "network.domain": r"[\p{Latin}\p{N}]\.[\p{Latin}]{2}|[\p{Cf}\p{Mn}]",  # invisible characters may stand between
+    "network.domain": r"\.[\p{Latin}]{2}|[\x{AD}\x{300}-\x{10FFFF}]",  # all invisible characters, which may stand between, are among those
     "network.ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]",
     "network.ipv6": r":[0-9A-Fa-f]*:",
     "network.mac": r"[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:",
@@ -129,7 +129,7 @@ NEEDS = {
     "cloud.aws": r"[0-9A-Z]{16}|[A-Za-z0-9/+]{40}",
     "cloud.azure_storage_key": r"[A-Za-z0-9+/-]{86}",
     "comms.twilio": r"AC[0-9a-f]{32}",
-    "secrets.vendor_keys": r"GOCSPX-|ya29\.|hf_|shp(?:at|ca|pa|ss)_|pypi-|dapi|xapp-|:AA|[A-Za-z0-9_-]{24}\.|Q~|sig=",
+    "secrets.vendor_keys": r"GOCSPX-|ya29\.|hf_|shp(?:at|ca|pa|ss)_|pypi-|dapi|xapp-|:AA|[MNO][A-Za-z0-9_-]{23}|Q~|sig=",
 }
 #: What stands after a password's label without being one.
 NO_PASSWORDS = frozenset("string str text password passwd pwd secret null nil none undefined true false required optional hidden redacted masked empty".split())

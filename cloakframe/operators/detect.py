@@ -46,7 +46,7 @@ def mask(text: Column, rules: Compiled, only_block: bool = False) -> Column:
             if d.name in NEEDS:
                 held = held & text.rlike(java_pattern(NEEDS[d.name]))
             bits.append(F.when(held, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    bits.append(F.when(text.rlike(formats.small_pattern().pattern), F.lit(1 << STANDING)).otherwise(F.lit(0)).cast("long"))
+    bits.append(F.when(_any([F.contains(text, F.lit(x)) for x in formats.SMALL_MARKS]), F.lit(1 << STANDING)).otherwise(F.lit(0)).cast("long"))
     return F.coalesce(functools.reduce(lambda a, b: a.bitwiseOR(b), bits), F.lit(0).cast("long"))
 
 

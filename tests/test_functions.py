@@ -156,3 +156,10 @@ def test_lists_of_suffixes_and_tops(tmp_path):
         assert shipped("a.b.oddtop") == ("a.", "b", "oddtop") and shipped("x.acme.co.zz") == ("x.", "acme", "co.zz") and shipped("a.b.net") is None
     finally:
         hosts.install(before)
+
+
+def test_small_marks_stand_in_every_small_placeholder():
+    for entity in entities.SMALL:
+        token = entities.placeholder(entity, "x")
+        text = f"+44-{token}" if entity == "intl_phone" else token
+        assert formats.standing(text) == [token] and any(m in text for m in formats.SMALL_MARKS)
