@@ -22,7 +22,7 @@ from ..operators import detect, json_body, resolve
 from ..operators.rules import Compiled, Rules
 from ..operators.vault import Vault
 
-REWRITE = "struct<text:string,wire:array<struct<real:string,token:string,entity_type:string,wire_value:string>>>"
+WIRE = "array<struct<real:string,token:string,entity_type:string,wire_value:string>>"
 
 
 @dataclass
@@ -68,19 +68,23 @@ def starts_with(held: np.ndarray, longest: int):
     return F.pandas_udf(each, STARTS)
 
 
-def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-    out, wires = [], []
-    for text, found, held in zip(texts, dets, tokens, strict=True):
-        of = {t["real"]: t["token"] for t in ([] if held is None else held)}
-        spans, wire = [], []
-        for d in [] if found is None else found:
-            own = [of[x["real"]] for x in d["lookups"]]  # a value without a placeholder is an error: nothing is written
-            new = formats.replacement(d["kind"], d["before"], d["after"], own)
-            spans.append((d["start"], d["end"], new))
-            wire += [{"real": x["real"], "token": t, "entity_type": x["type"], "wire_value": new} for x, t in zip(d["lookups"], own, strict=True)]
-        out.append(formats.splice(text, spans) if spans else text)
-        wires.append(wire)
-    return pd.DataFrame({"text": out, "wire": wires})
+def replaced(found: list, tokens: list | None):
+    """(detection, its placeholders, the text in its place) of each. A value without a placeholder is an error: nothing is written."""
+    of = {t["real"]: t["token"] for t in ([] if tokens is None else tokens)}
+    for d in [] if found is None else found:
+        own = [of[x["real"]] for x in d["lookups"]]
+        yield d, own, formats.replacement(d["kind"], d["before"], d["after"], own)
+
+
+def _rewrite(texts: pd.Series, dets: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([t if d is None or not len(d) else formats.splice(t, [(x["start"], x["end"], new) for x, _, new in replaced(d, k)]) for t, d, k in zip(texts, dets, tokens, strict=True)])
+
+
+def _wire(dets: pd.Series, tokens: pd.Series) -> pd.Series:
+    return pd.Series([
+        [{"real": x["real"], "token": t, "entity_type": x["type"], "wire_value": new} for d, own, new in replaced(found, held) for x, t in zip(d["lookups"], own, strict=True)]
+        for found, held in zip(dets, tokens, strict=True)
+    ])
 
 
 def _restore(texts: pd.Series, tokens: pd.Series, json: pd.Series) -> pd.Series:
@@ -144,14 +148,15 @@ class Redactor:
         return met.where(same & apart).groupBy("h").agg(F.collect_list(det).alias("more"))
 
     def _found(self, texts: DataFrame, rules: Compiled, only_block: bool, cached: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-        """(h, text, place, dets, error) of distinct texts, after the vetoes and without overlap; and (token) of the small
-        placeholders that stand in the texts as they came."""
-        scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "text", "place", "scan.*")
+        """(h, place, dets, error) of distinct texts, after the vetoes and without overlap; and (token) of the small
+        placeholders that stand in the texts as they came. What is cached holds findings only, never a text."""
+        scanned = texts.withColumn("scan", detect.scan(F.col("text"), rules, only_block)).select("h", "place", "scan.*")
         fresh = not self.vault.state()[1]  # an empty vault knows nothing yet
         more = None if only_block or fresh else self._known(texts, self.known_values())
         if more is not None:
             scanned = scanned.join(more, "h", "left").withColumn("dets", F.when(F.col("more").isNull(), F.col("dets")).otherwise(F.concat("dets", "more"))).drop("more")
-        scanned = scanned.persist()
+        told = (F.size("dets") > 0) | (F.size("standing") > 0) | F.col("error").isNotNull()
+        scanned = scanned.where(told).persist()
         cached.append(scanned)
         dets = resolve.allow_veto(F.col("dets"), rules.allow)
         if fresh:
@@ -163,40 +168,40 @@ class Redactor:
             stored = paths.join(self.vault.entries().select("real"), "real", "left_semi").groupBy("h").agg(F.collect_set("real").alias("known"))
             joined, known = scanned.join(real, "h", "left").join(stored, "h", "left"), F.col("known")
             dets = resolve.placeholder_veto(dets, F.coalesce("held", F.array().cast("array<struct<start:int,end:int>>")))
-        found = joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), known)).select("h", "text", "place", "dets", "error")
+        found = joined.withColumn("dets", resolve.keep_paths(resolve.resolve_overlaps(dets), known)).select("h", "place", "dets", "error")
         return found, scanned.select(F.explode("standing").alias("token")).distinct()
 
-    def _pass(self, texts: DataFrame, rules: Compiled, only_block: bool, name: str | None, cached: list[DataFrame]) -> DataFrame:
-        """(h, text, error, new_text, wire)."""
+    def _pass(self, rows: DataFrame, text_col: str, place: str, rules: Compiled, only_block: bool, name: str | None, cached: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """``rows`` (with __h, __error) with their texts rewritten, or with an error; and (real, token, ...) of all replacements."""
+        sound = rows.where(F.col(text_col).isNotNull() & F.col("__error").isNull())
+        texts = sound.groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(place).alias("place"))
         found, standing = self._found(texts, rules, only_block, cached)
         found = found.persist()
         cached.append(found)
-        wanted = found.select("place", "h", F.explode("dets").alias("d")).select(
-            F.struct("place", "h", "d.start", "d.det_ord", "d.seq").alias("place"), "h", F.explode("d.lookups").alias("x")
-        )
+        wanted = found.select("h", F.col("place").alias("p"), F.explode("dets").alias("d")).select(F.struct("p", "h", "d.start", "d.det_ord", "d.seq").alias("place"), "h", F.explode("d.lookups").alias("x"))
         wanted = wanted.select("h", "place", F.col("x.real").alias("real"), F.col("x.type").alias("entity_type"))
         tokens = self.vault.get_or_create(wanted.select("real", "entity_type", "place"), name, standing)
-        held = wanted.select("h", "real").distinct().join(tokens, "real").groupBy("h").agg(F.collect_list(F.struct("real", "token")).alias("tokens"))
-        done = found.join(held, "h", "left").withColumn("new", F.when(F.size("dets") > 0, F.pandas_udf(hosts.shipped(_rewrite), REWRITE)("text", "dets", "tokens")))
-        return done.select("h", "text", "error", F.coalesce("new.text", "text").alias("new_text"), F.coalesce("new.wire", F.array().cast("array<struct<real:string,token:string,entity_type:string,wire_value:string>>")).alias("wire"))
+        held = wanted.select("h", "real").distinct().join(tokens, "real").groupBy("h").agg(F.collect_list(F.struct("real", "token")).alias("__tokens"))
+        done = found.join(held, "h", "left").select("h", F.col("dets").alias("__dets"), F.col("error").alias("__e"), "__tokens").persist()
+        cached.append(done)
+        joined = rows.join(done, F.col("__h") == F.col("h"), "left")
+        new = F.when(F.size("__dets") > 0, F.pandas_udf(hosts.shipped(_rewrite), "string")(F.col(text_col), F.col("__dets"), F.col("__tokens"))).otherwise(F.col(text_col))
+        out = joined.withColumn(text_col, new).withColumn("__error", F.coalesce("__error", "__e")).select(*rows.columns)
+        wire = F.pandas_udf(hosts.shipped(_wire), WIRE)("__dets", "__tokens")
+        return out, done.where("__e is null and size(__dets) > 0").select(F.explode(wire).alias("w")).select("w.*")
 
     def tokenize(self, df: DataFrame, id_col: str, text_col: str, name: str | None = None) -> Tokenized:
         """``name`` makes a batch repeatable: running it again mints nothing new."""
         rules, cached = self.rules, []
-        keyed = df.withColumn("__h", key_of(text_col)).withColumn("__ok", F.col(text_col).isNull() | F.expr(f"is_valid_utf8(`{text_col}`)"))
-        texts = keyed.where(F.col(text_col).isNotNull() & F.col("__ok")).groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("text"), F.min(id_col).alias("place"))
-        done = self._pass(texts, rules, False, name, cached)
+        sound = F.col(text_col).isNull() | F.expr(f"is_valid_utf8(`{text_col}`)")
+        keyed = df.withColumn("__h", key_of(text_col)).withColumn("__error", F.when(~sound, F.lit("invalid UTF-8")))
+        out, wire = self._pass(keyed, text_col, id_col, rules, False, name, cached)
         if rules.block:  # the output is scanned again for what operators block
-            again = done.where("error is null").select(F.col("h"), F.col("new_text").alias("text"), F.lit(0).alias("place"))
-            second = self._pass(again, rules, True, f"{name}-block" if name else None, cached).select("h", F.col("new_text").alias("text2"), F.col("wire").alias("wire2"), F.col("error").alias("error2"))
-            done = done.join(second, "h", "left").select("h", F.coalesce("error", "error2").alias("error"), F.coalesce("text2", "new_text").alias("new_text"), F.concat("wire", F.coalesce("wire2", F.array().cast("array<struct<real:string,token:string,entity_type:string,wire_value:string>>"))).alias("wire"))
-        done = done.select("h", "error", "new_text", "wire").persist()
-        cached.append(done)
-        joined = keyed.join(done, F.col("__h") == F.col("h"), "left")
-        bad = F.col("error").isNotNull() | ~F.col("__ok")
-        rows = joined.where(~bad).withColumn(text_col, F.col("new_text")).select(*df.columns)
-        rejects = joined.where(bad).select(id_col, F.coalesce("error", F.lit("invalid UTF-8")).alias("error"))
-        audit = done.where("error is null").select(F.explode("wire").alias("w")).select(F.lit("replacement").alias("event"), F.lit("tokenize").alias("direction"), "w.*")
+            out, more = self._pass(out, text_col, id_col, rules, True, f"{name}-block" if name else None, cached)
+            wire = wire.unionByName(more)
+        rows = out.where("__error is null").select(*df.columns)
+        rejects = out.where("__error is not null").select(id_col, F.col("__error").alias("error"))
+        audit = wire.select(F.lit("replacement").alias("event"), F.lit("tokenize").alias("direction"), "*")
         return Tokenized(rows, rejects, audit, cached)
 
     def detokenize(self, df: DataFrame, text_col: str, json: Column | None = None) -> DataFrame:
