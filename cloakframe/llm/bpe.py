@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, vocabulary_file
+from .common import held_for, let_go, slices, vocabulary_file
 from .ids import Store, binary, gather, joined
 
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -42,7 +42,7 @@ PIECE = 1 << 16  # characters that are fed at once
 HOLD = 4096  # characters without a safe cut after which a word is streamed
 LONG = 64  # bytes from which a word goes through the window
 CACHE = 30_000  # entries of a generation of a cache
-STORE = 400_000  # different chunks whose ids are kept
+STORE = 300_000  # different chunks whose ids are kept
 SLICE = 2 << 20  # bytes of text that are encoded before they are passed on
 
 
@@ -376,14 +376,14 @@ class Decoder:
         return out
 
 
-CODECS: dict[str, tuple[ColumnEncoder, Decoder]] = {}  # of this worker process, by the file's name
-
-
 def codec(path: str) -> tuple[ColumnEncoder, Decoder]:
-    if path not in CODECS:
+    """The coders of a vocabulary, one of each in a worker."""
+    own = held_for("bpe")
+    if path not in own:
         merges = Merges(vocabulary_file(path))
-        CODECS[path] = ColumnEncoder(merges), Decoder(merges)
-    return CODECS[path]
+        own[path] = ColumnEncoder(merges), Decoder(merges)
+        let_go()  # what reading the vocabulary took
+    return own[path]
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,12 +71,13 @@ def free_name(columns: list[str], base: str) -> str:
 
 
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each key (``row_key``) in ``keys``; all columns stay, whatever their names."""
-    name, place = (free_name(docs.columns, base) for base in ("key", "place"))
-    keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col)))
-    kept = keyed.join(keys.select(F.col(keys.columns[0]).alias(name)), name, "left_semi")
-    first = Window.partitionBy(name).orderBy(F.lit(0))
-    return kept.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(name, place)
+    """One row of ``docs`` for each key (``row_key``) in ``keys``; all columns stay, whatever their names.
+
+    Rows that repeat a key are dropped before they move, all but one of each task, so many of them never meet in one task.
+    """
+    name = free_name(docs.columns, "key")
+    keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col))).dropDuplicates([name])
+    return keyed.join(keys.select(F.col(keys.columns[0]).alias(name)), name, "left_semi").drop(name)
 
 
 HELD: dict[str, dict] = {}  # of this worker process, which Spark may use again for another operator

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, held_for, written
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 24, 8
 PER_LANGUAGE, PER_TEXT, SURPLUS = 300, 6, 4
@@ -173,6 +173,7 @@ def annotate(docs: DataFrame, net: Network, text_col: str = "text", pred: str =
     """``docs`` with two more columns, ``pred`` and ``score``. Only the text goes to Python; the other columns stay in the JVM."""
 
     def each(texts: pa.Array) -> pa.Array:
+        held_for("lang")
         names, scores = [], []
         for s in range(0, len(texts), 200):
             n, c = net.predict(texts.slice(s, 200).to_pylist())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import replace_file, shared_dir, slices, store, vocabulary_file, written
+from .common import held_for, replace_file, shared_dir, slices, store, vocabulary_file, written
 from .ids import Store, binary, gather, joined
 
 END = 2
@@ -381,9 +381,6 @@ class LibraryEncoder:
         return [x.astype("<u4").tobytes() for x in np.split(ids, at[1:-1])][: len(texts)]
 
 
-ENCODERS: dict[str, LibraryEncoder] = {}  # of this worker process
-
-
 def id_type(size: int) -> np.dtype:
     """The narrowest unsigned integers that hold all ids below ``size``."""
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -406,9 +403,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = id_type(size or vocabulary_size(path, end))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in ENCODERS:
-            ENCODERS[path] = LibraryEncoder(vocabulary_file(path))
-        encoder = ENCODERS[path]
+        own = held_for("rans")
+        if path not in own:
+            own[path] = LibraryEncoder(vocabulary_file(path))
+        encoder = own[path]
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
             for part in slices(batch, sizes, SLICE):
