@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import bpe, exact_dedup, lang_id, mixing, simhash
-from cloakframe.llm.common import free_name, keep_rows, row_key, shared_dir
+from cloakframe.llm.common import free_name, keep_rows, row_key, shared_dir, written
 
 #: A text whose most likely language is no more likely than this is rejected, and so is one without a letter.
 LEAST_SCORE = 0.3
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, copies, copy = (free_name(docs.columns, base) for base in ("key", "copies", "copy"))
     took = mixing.mix(docs, cut=False).where("copies > 0")
     # Repeated rows of the input each have a plan of their own; the largest stands for all.
-    plan = took.groupBy(F.col("row_key").alias(key)).agg(F.max("copies").alias(copies))
+    plan = written(took.groupBy(F.col("row_key").alias(key)).agg(F.max("copies").alias(copies)), "mix-plan")
     joined = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(plan, key)
     each = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
     return joined.withColumn(copy, each).drop(key, copies, copy)
