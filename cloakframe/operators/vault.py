@@ -187,14 +187,12 @@ class Vault:
         """(real, token) of all ``wanted`` (real, entity_type, place): known ones from the vault, new ones minted and kept.
 
         ``place`` orders first sights; of entities that want the same value the first one's shape is taken. ``standing``
-        (token): small placeholders that stand in the texts; they are taken from now on. A batch of a ``name`` that counts
-        already mints nothing.
+        (token): small placeholders that stand in the texts; they are taken from now on. A batch that runs again finds all its
+        values known, so it mints nothing; ``name`` tells it among the batches.
         """
         first = wanted.groupBy("real").agg(F.min_by("entity_type", "place").alias("entity_type"), F.min("place").alias("place"))
         for _ in range(TRIES):
             number, folders, names = self.state()
-            if name is not None and name in names:
-                break
             history = self.history(folders)
             new = first.join(latest(history).select("real"), "real", "left_anti")
             dead = history.groupBy("real").agg(F.max("generation").alias("last"))
@@ -212,7 +210,8 @@ class Vault:
                 if chance:
                     none = F.lit(None).cast("string").alias("real")
                     rows = rows.unionByName(met.select(none, "token", F.lit("").alias("entity_type"), F.current_timestamp().alias("first_seen"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("generation"), F.lit(True).alias("removed")))
-                if self._commit(number + 1, [*folders, self._write(rows)], [*names, name or uuid.uuid4().hex]):
+                own = name or uuid.uuid4().hex
+                if self._commit(number + 1, [*folders, self._write(rows)], names if own in names else [*names, own]):
                     break
             finally:
                 new.unpersist()

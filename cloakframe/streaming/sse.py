@@ -11,6 +11,7 @@ or (``timed``) the stream falls silent.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -248,13 +249,15 @@ def restore_stream(redactor, frames: DataFrame, sink: str, checkpoint: str, time
 
 
 def tokenize_stream(redactor, stream: DataFrame, id_col: str, text_col: str, sink: str, checkpoint: str, watcher=None):
-    """Starts a query that tokenizes each batch and appends it to ``sink``. The vault's batch is named after the stream's, so
-    a batch that runs again mints nothing new and overwrites its own output. ``watcher``: rules that may change between batches."""
+    """Starts a query that tokenizes each batch and appends it to ``sink``. The vault's batch is named after the stream's
+    checkpoint and batch; one that runs again mints nothing new and overwrites its own output. ``watcher``: rules that may change between batches."""
+
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(df: DataFrame, n: int) -> None:
         if watcher is not None:
             redactor.rules = watcher.check()
-        with redactor.tokenize(df, id_col, text_col, name=f"stream-{n}") as done:
+        with redactor.tokenize(df, id_col, text_col, name=f"stream-{own}-{n}") as done:
             done.rows.write.mode("overwrite").parquet(f"{sink}/rows/batch={n}")
             done.rejects.write.mode("overwrite").parquet(f"{sink}/rejects/batch={n}")
 

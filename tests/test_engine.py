@@ -130,8 +130,10 @@ def test_batches_are_repeatable(spark, vault):
     w = wanted(spark, [("10.0.0", "ip_network")])
     vault.get_or_create(w, "one")
     vault.append(vault.history(), "one")
-    vault.get_or_create(wanted(spark, [("10.0.9", "ip_network")]), "one")
-    assert vault.batches() == ["one"] and vault.entries().count() == 1
+    vault.get_or_create(w, "one")
+    assert vault.batches() == ["one"] and vault.entries().count() == 1 == len(vault.state()[1])
+    # A name that another batch had, with values of its own: none of them goes without a placeholder.
+    assert vault.get_or_create(wanted(spark, [("10.0.9", "ip_network")]), "one").first().token == "198.18.1" and vault.batches() == ["one"]
 
 
 def test_a_crash_at_each_step_loses_nothing(spark, vault, monkeypatch):
