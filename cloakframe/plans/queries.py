@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import entities, hosts, numbers
 from ..functions.patterns import ALLOW_LISTS, DETECTORS, PATTERNS, by_name, java_pattern, re2_pattern
 from ..operators import detect, json_body, resolve
-from ..operators.rules import CATALOGUE, Compiled, Rules
+from ..operators.rules import Compiled, Rules
 from ..operators.vault import Vault, new_values, numbered
 from ..sources.shared import shared_path
 from ..streaming.sse import flush_boundary, restore_stream
@@ -437,9 +437,16 @@ def dedupe_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
 
 
-@query("category_catalogue", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in CATALOGUE.items()) + ") AS t(category, about)")
+@query(
+    "category_catalogue",
+    f"SELECT category, NOT (category LIKE 'network.%' OR category = 'contact.phone') AS enabled FROM (VALUES {', '.join(f"('{n}')" for n in PLANTS)}) AS t(category)",
+)
 def category_catalogue(spark, sf_dir):
-    return spark.createDataFrame(list(CATALOGUE.items()), "category string, about string")
+    """Every detector is a category; a group and a category of another are switched off for one run."""
+    rules = Rules()
+    rules.reconcile()
+    held = [(n, bool(c["enabled"])) for n, c in rules.without("network", "contact.phone").categories.items() if not n.startswith("allowlist.")]
+    return spark.createDataFrame(held, "category string, enabled boolean")
 
 
 # -- JSON bodies ------------------------------------------------------------------------------------------------------
