@@ -100,9 +100,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, blank: bool = True) -> DataFrame:
     """One row per document: id, text without its later repeated runs, n_lines, removed_lines, runs."""
-    runs = repeated_runs(docs, id_col, text_col, run, blank).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs")
+    # Written, so that adaptive execution can split the rows of a document that stands many times; never broadcast, as it grows.
+    runs = written(repeated_runs(docs, id_col, text_col, run, blank).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "runs"), "line-runs")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    joined = base.join(runs, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
+    joined = base.join(runs.hint("merge"), F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     lines = F.split("text", "\n")
     # What stays lies between one run's end and the next one's beginning.
     begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
