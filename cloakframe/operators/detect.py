@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import detectors, formats, hosts
+from ..functions.entities import EITHER_CASE, SHAPES, marker, shape_pattern
 from ..functions.patterns import DETECTORS, NEEDS, Detector, java_pattern
 from .rules import Compiled
 
@@ -80,6 +81,14 @@ def scan(text: Column, rules: Compiled, only_block: bool = False) -> Column:
     return F.pandas_udf(hosts.shipped(each), SCAN)(F.when(held != 0, text), held)
 
 
+def may_restore(text: Column) -> Column:
+    """Whether a text can hold a placeholder, natively: by the texts that placeholders of each entity hold."""
+    held = [F.contains(text, F.lit(marker(e))) for e in SHAPES if e not in ("domain", *EITHER_CASE)]
+    held += [F.contains(F.lower(text), F.lit(marker(e).lower())) for e in EITHER_CASE]
+    held += [F.contains(text, F.lit(x)) for x in ("198.18.", "198.19.", "240.", "fd00:c0de:")]
+    return _any([text.rlike(shape_pattern("domain")), *held])
+
+
 def matches(text: Column, detector: Detector) -> Column:
     """The values that a pattern detector replaces, natively: the array of its matches without placeholders."""
     hit = _any([F.contains(F.lower(text), F.lit(x)) for x in detector.literals])

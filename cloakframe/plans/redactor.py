@@ -211,7 +211,8 @@ class Redactor:
         """
         whole = F.coalesce(F.lit(False) if json is None else json, F.lit(False))
         keyed = df.withColumn("__json", whole).withColumn("__h", F.concat(F.col("__json").cast("string"), key_of(text_col)))
-        texts = keyed.where(F.col(text_col).isNotNull()).groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("t"), F.first("__json").alias("j"))
+        held = F.col("__json") | detect.may_restore(F.col(text_col))  # JSON may spell a placeholder in other ways
+        texts = keyed.where(F.col(text_col).isNotNull() & held).groupBy(F.col("__h").alias("h")).agg(F.first(text_col).alias("t"), F.first("__json").alias("j"))
         asked = texts.select("h", F.explode(F.pandas_udf(_candidates_of, "array<string>")("t", "j")).alias("token"))
         held = asked.join(self.vault.entries().select("token", "real"), "token").groupBy("h").agg(F.collect_list(F.struct("token", "real")).alias("__held"))
         joined = keyed.join(held, F.col("__h") == F.col("h"), "left")

@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.functions import detectors
+from cloakframe.functions import detectors, entities, formats
 from cloakframe.functions.patterns import DETECTORS
 from cloakframe.operators import admin, detect, json_body, resolve
 from cloakframe.operators.rules import Rules, Watcher
@@ -222,6 +222,14 @@ def test_native_patterns_agree_with_the_detectors(spark):
             assert native == sorted(r.t[x.start : x.end] for r in texts.collect() for x in detectors.plain(d, r.t) for x in [detectors.Detection(x[0], x[1], 0, ())]) and len(native) == 40
 
 
+def test_every_placeholder_may_be_restored(spark):
+    tokens = [entities.placeholder(e, f"v{k}") for e in entities.SHAPES for k in range(5)]
+    tokens += [f"{entities.network_slot(k, True)}.7" for k in (0, 300, 600, 40000)] + [f"{entities.network6_slot(9)}::1", entities.placeholder("razorpay_key", "x").upper()]
+    found = rows(spark, [f"see {t} now" for t in tokens] + ["nothing", ""]).select("text", detect.may_restore(F.col("text")).alias("m")).collect()
+    assert all(r.m for r in found if "see" in r.text) and all(formats.candidates(r.text) for r in found if "see" in r.text and "+" not in r.text and "555-" not in r.text)
+    assert [r.m for r in found if "see" not in r.text] == [False, False]
+
+
 def test_overlaps(spark):
     df = spark.createDataFrame([([(0, 6, 2, 0), (0, 3, 0, 1), (5, 9, 1, 2), (9, 10, 3, 3)],)], "dets array<struct<start:int,end:int,det_ord:int,seq:int>>")
     kept = df.select(resolve.resolve_overlaps(F.col("dets")).alias("k")).first().k
