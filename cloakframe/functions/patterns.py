@@ -91,7 +91,9 @@ VENDOR_PATTERNS = (
     r"[?&]sig=([A-Za-z0-9%+/]{40,}(?:=|%3[Dd]){0,2})",
 )
 
-#: Patterns that the procedural detectors start from.
+#: Patterns that the procedural detectors start from. Some are no issuer's or standard's form but grammars of labels
+#: (password_label, credential, hash, conn_url, conn_password, conn_near, url_host, port_host, sample_host, aws_secret): which
+#: spans are found depends on them, so they are given as they must be for the same results.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+\-]+@[\p{Latin}\p{N}](?:[\p{Latin}\p{N}-]{0,61}[\p{Latin}\p{N}])?(?:\.[\p{Latin}\p{N}](?:[\p{Latin}\p{N}-]{0,61}[\p{Latin}\p{N}])?)+\b",
     "domain": r"(?<![\p{Latin}\p{N}])([\p{Latin}\p{N}](?:[\p{Latin}\p{N}-]{0,61}[\p{Latin}\p{N}])?(?:\.[\p{Latin}\p{N}](?:[\p{Latin}\p{N}-]{0,61}[\p{Latin}\p{N}])?)*\.[\p{Latin}]{2,24})\b",

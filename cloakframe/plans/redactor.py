@@ -55,14 +55,18 @@ def _eligible(values: pd.Series) -> pd.Series:
     return values.map(detectors.eligible)
 
 
-def starts_with(held: np.ndarray, longest: int):
-    """Finds the places of texts at which a stored value can begin: ``held`` knows heads by their checksum, with some more."""
+def starts_with(held: bytes, longest: int):
+    """Finds the places of texts at which a stored value can begin: the bits of ``held`` know heads by their checksum, with some more."""
+
+    def known(head: str) -> int:
+        at = zlib.crc32(head.encode()) % HEADS
+        return held[at >> 3] >> (7 - (at & 7)) & 1
 
     def each(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             found = detectors.starts(t or "")
-            out.append([{"at": k, "head": h, "part": t[k : k + longest + 1]} for k, h in found if held[zlib.crc32(h.encode()) % HEADS]])
+            out.append([{"at": k, "head": h, "part": t[k : k + longest + 1]} for k, h in found if known(h)])
         return pd.Series(out)
 
     return F.pandas_udf(each, STARTS)
@@ -130,12 +134,12 @@ class Redactor:
         """
         head = F.substring("real", 1, detectors.KNOWN_LENGTH)
         places = values.select(F.pmod(F.crc32(head.cast("binary")), F.lit(HEADS)).cast("int").alias("p"), F.length("real").alias("n"))
-        filled = places.groupBy("p").agg(F.max("n").alias("n")).collect()  # HEADS rows at most, however many values there are
-        if not filled:
+        filled = places.groupBy("p").agg(F.max("n").alias("n")).toArrow()  # HEADS rows at most, however many values there are
+        if not len(filled):
             return None
         held = np.zeros(HEADS, bool)
-        held[[r["p"] for r in filled]] = True
-        starts = texts.select("h", F.explode(starts_with(held, max(r["n"] for r in filled))("text")).alias("s")).select("h", "s.*")
+        held[filled.column("p").to_numpy()] = True
+        starts = texts.select("h", F.explode(starts_with(np.packbits(held).tobytes(), int(filled.column("n").to_numpy().max()))("text")).alias("s")).select("h", "s.*")
         met = starts.join(values.withColumn("head", head), "head")
         n = F.length("real")
         same = F.expr("startswith(part, real)")
