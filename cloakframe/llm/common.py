@@ -28,11 +28,27 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return posixpath.join(base, f"{tag}-{uuid.uuid4().hex}")
 
 
+FILES, PART = 4, 128 << 20  # files of a written table for each core at least, bytes that one of them may be expected to hold
+
+
+def few_files(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """``df`` in no more partitions than its expected size (or that of ``like``) asks for and FILES for each core, so that
+    many small partitions aren't many small files. Large tables keep all of theirs, so no task grows long.
+
+    Where executors come and go by demand, the number of cores says nothing, and all partitions stay.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(FILES * max(2, context.defaultParallelism), -(-size // PART))))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, tag)
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe.llm.common import FILES, few_files, written
 from cloakframe.llm.exact_dedup import exact_dedup
 from cloakframe.llm.line_dedup import line_dedup
 from cloakframe.llm.mixing import mix
@@ -199,3 +200,11 @@ def test_sharding(spark):
     assert all(len(v) == 1 for v in where.values())
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert shard(frame(spark, [])).count() == 0
+
+
+def test_few_files(spark, tmp_path):
+    """Small tables are written in few files, whatever their partitions; large ones keep theirs."""
+    many = spark.range(1000).repartition(500)
+    assert few_files(many).rdd.getNumPartitions() == FILES * spark.sparkContext.defaultParallelism
+    assert few_files(many, spark.range(1 << 40)).rdd.getNumPartitions() == 500
+    assert written(many, "few").count() == 1000
