@@ -9,7 +9,7 @@ from cloakframe.plans.queries import QUERIES
 from cloakframe.plans.redactor import Redactor
 
 
-@pytest.mark.parametrize("name, key, text", [("documents", "doc_id", "text")])
+@pytest.mark.parametrize("name, key, text", [("documents", "doc_id", "text"), ("pages", "page_id", "html")])
 def test_whole_tables_of_many_networks(spark, tmp_path, name, key, text):
     """More networks than 198.18.0.0/15 has placeholders come back."""
     rows = spark.range(600).select(F.col("id").alias(key), F.expr("concat('up 10.', id div 200, '.', id % 200, '.7')").alias(text))
