@@ -66,6 +66,8 @@ NO_LEFT_EDGE = ("pem_key", "azure_storage_key", "terraform_token", "snyk_token",
 EITHER_CASE = ("razorpay_key",)
 # Spaces of placeholders so small that digests collide in them long before they are full.
 SMALL = ("phone", "intl_phone", "mac", "aadhaar", "pan", "slack_token")
+# What is added to a shape from that attempt on, once shorter placeholders have become hard to find.
+WIDE, WIDE_FROM = {"intl_phone": (("D", 6),)}, 5
 #: Area codes of made-up phone numbers: a digit from 2, one up to 8, one from 2, which every numbering plan code of that form allows.
 AREAS = 8 * 9 * 8
 
@@ -77,10 +79,16 @@ def area(n):
     return 100 * (2 + F.floor(n / 72)) + 10 * F.floor(n % 72 / 8) + 2 + n % 8
 
 
+def parts_of(entity: str, attempt: int = 0) -> tuple:
+    """The parts of an entity's placeholder at an attempt."""
+    return SHAPES[entity] + (WIDE.get(entity, ()) if attempt >= WIDE_FROM else ())
+
+
 def shape_pattern(entity: str) -> str:
-    """The regular expression of an entity's placeholders, without edges."""
+    """The regular expression of an entity's placeholders, without edges; the longest that fits is taken."""
     kinds = {"H": "[0-9a-f]{%d}", "U": "[0-9A-F]{%d}", "D": "[0-9]{%d}", "A": "[A-Z]{%d}", "I": "[0-9]{%d}", "C": "[0-9]{3}"}
-    return "".join(re.escape(p) if isinstance(p, str) else (kinds[p[0]] % p[1] if "%" in kinds[p[0]] else kinds[p[0]]) for p in SHAPES[entity])
+    plain, wide = ("".join(re.escape(p) if isinstance(p, str) else (kinds[p[0]] % p[1] if "%" in kinds[p[0]] else kinds[p[0]]) for p in parts) for parts in (SHAPES[entity], WIDE.get(entity, ())))
+    return f"{plain}(?:{wide})?" if wide else plain
 
 
 def marker(entity: str) -> str:
@@ -99,7 +107,7 @@ def placeholder(entity: str, real: str, key: str = "cloakframe", generation: int
     while len(bits) < 160:
         bits += hashlib.sha256(bits.encode()).hexdigest()
     out, at = [], 0
-    for p in SHAPES[entity]:
+    for p in parts_of(entity, attempt):
         if isinstance(p, str):
             out.append(p)
             continue
@@ -122,15 +130,16 @@ def placeholder(entity: str, real: str, key: str = "cloakframe", generation: int
     return "".join(out)
 
 
-def placeholder_column(entity: str, real: Column, key: str = "cloakframe", generation: Column | int = 0, attempt: Column | int = 0) -> Column:
+def placeholder_column(entity: str, real: Column, key: str = "cloakframe", generation: Column | int = 0, attempt: int = 0) -> Column:
     """``placeholder`` as a Column."""
     part = [F.lit(x).cast("string") if isinstance(x, int | str) else x.cast("string") for x in (key, generation, entity)]
-    bits = [F.sha2(F.concat_ws("|", *part, real, F.lit(attempt).cast("string") if isinstance(attempt, int) else attempt.cast("string")), 256)]
-    total = sum(p[1] if p[0] in "HU" else 8 for p in SHAPES[entity] if not isinstance(p, str))
+    bits = [F.sha2(F.concat_ws("|", *part, real, F.lit(str(attempt))), 256)]
+    parts = parts_of(entity, attempt)
+    total = sum(p[1] if p[0] in "HU" else 8 for p in parts if not isinstance(p, str))
     while 64 * len(bits) < total:
         bits.append(F.sha2(F.concat(*bits), 256))
     hexes, out, at = F.concat(*bits), [], 1
-    for p in SHAPES[entity]:
+    for p in parts:
         if isinstance(p, str):
             out.append(F.lit(p))
             continue

@@ -15,3 +15,21 @@ def test_whole_tables_of_many_networks(spark, tmp_path, name, key, text):
     rows = spark.range(600).select(F.col("id").alias(key), F.expr("concat('up 10.', id div 200, '.', id % 200, '.7')").alias(text))
     rows.write.parquet(f"{tmp_path}/{name}.parquet")
     assert sorted(map(tuple, QUERIES[f"roundtrip_{name}"](spark, str(tmp_path)).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_more_numbers_abroad_than_short_placeholders(spark, tmp_path):
+    """10,000 numbers don't fit into 9,900 short placeholders beside what stands in the texts: the rest get longer ones."""
+    rows = spark.range(10_000).select("id", F.expr("concat('+44 20 7946 ', lpad(id, 4, '0'), ' or +1-555-12', lpad(id % 100, 2, '0'), ' or +1-555-1234567890')").alias("text"))
+    redactor = Redactor(spark, Vault(spark, f"file://{tmp_path}"))
+    done = redactor.tokenize(rows, "id", "text")
+    want = rows.withColumn("text", F.regexp_replace("text", r"\+44 20 7946 ", "+44207946"))
+    hidden = done.rows.cache()
+    assert hidden.where("text like '%20 7946%'").count() == 0 and hidden.where(r"text rlike '^\\+44-555-[0-9]{10} '").count() > 100
+    assert redactor.detokenize(hidden, "text").exceptAll(want).count() == 0 == done.rejects.count()
+    assert redactor.tokenize(hidden, "id", "text").rows.exceptAll(hidden).count() == 0
+
+
+def test_digits_behind_a_short_placeholder():
+    real = {"555-1234": "+44207946000", "555-1234567890": "+44207946111"}
+    assert formats.restore("+44-555-1234567890 +44-555-12345678 +44-555-1234 +44-555-1234999999", real) == "+44207946111 +442079460005678 +44207946000 +44207946000999999"
+    assert entities.placeholder("intl_phone", "x", attempt=entities.WIDE_FROM) in formats.candidates(f"+44-{entities.placeholder('intl_phone', 'x', attempt=entities.WIDE_FROM)}")
