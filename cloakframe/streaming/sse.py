@@ -7,6 +7,9 @@ stands whole is never cut, whatever it holds. Tool input is held whole. All othe
 Frames of a stream are numbered from 0 by ``seq``. A frame waits until all before it were seen, in whatever batch or order
 they come; one that was seen already is dropped. A gap is given up, in the order of seq, when WAITING frames are behind it
 or (``timed``) the stream falls silent.
+
+Python is called for a bucket of streams at once, as a call takes far longer than a short stream's frames: a bucket's state
+holds that of its streams. Streams that are timed are called one by one, since each falls silent on its own.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ BUFFERED = ("text", "tool_use", "mcp_tool_use")
 BODY_BYTES = 64 << 20
 OPEN = regex.compile("|".join([*(shape_pattern(e) for e in SHAPES), r"198\.1[89]\.[0-9]{1,3}\.[0-9]{1,3}", r"240\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"fd00:c0de:[0-9a-f:]+"]))
 WAITING = 10_000
+BUCKETS = 4096  # by which state is kept: not to be changed under a checkpoint
 CHUNKS = "stream_id string, index long, seq long, part int, kind string, text string, event string, data string"
 EVENT = "struct<index:long,action:string,kind:string,part:string>"
 STATE = "held string"
@@ -199,23 +203,32 @@ def _events(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_event(d or "") for d in data], columns=["index", "action", "kind", "part"])
 
 
-def _blocks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
-    """One stream's frames; what it holds is the state. It stays after the message's end, so that frames that come twice are known."""
-    stream = Stream(key[0], state.get[0] if state.exists else None)
+def _blocks(frames: Iterator[pd.DataFrame], state: GroupState, timed: bool) -> Iterator[pd.DataFrame]:
+    """The frames of some streams; what each holds is the state. It stays after a message's end, so that frames that come twice are known."""
+    held = dict(json.loads(state.get[0])) if state.exists else {}
+    streams: dict[str | None, Stream] = {}
     if state.hasTimedOut:
-        stream.give_up()
+        streams = {i: Stream(i, h) for i, h in held.items()}
+        for stream in streams.values():
+            stream.give_up()
         state.remove()
     else:
         for part in frames:
-            stream.come(list(part[["seq", "index_", "action", "kind", "part", "event", "data"]].itertuples(index=False, name=None)))
-        state.update((stream.held(),))
+            of: dict[str | None, list[tuple]] = {}
+            for i, *frame in zip(*(part[c].tolist() for c in ("stream_id", "seq", "index_", "action", "kind", "part", "event", "data")), strict=True):
+                of.setdefault(i, []).append(frame)
+            for i, own in of.items():
+                if i not in streams:
+                    streams[i] = Stream(i, held.get(i))
+                streams[i].come(own)
+        state.update((json.dumps(list((held | {i: s.held() for i, s in streams.items()}).items())),))
         if timed:
             state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(stream.out, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+    yield pd.DataFrame([row for s in streams.values() for row in s.out], columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
 
 def rechunk(frames: DataFrame, timed: bool = False) -> DataFrame:
-    """CHUNKS from a stream of (stream_id, seq, event, data); state is kept by stream_id. Rows are in order by (seq, part).
+    """CHUNKS from a stream of (stream_id, seq, event, data). A stream's rows are in order by (seq, part).
 
     A row of kind FRAME is a frame that passes through (its text is empty); any other row is a delta that is to be made of
     ``text``, which is to be restored unless its kind is VERBATIM (tool input over the limit).
@@ -223,8 +236,9 @@ def rechunk(frames: DataFrame, timed: bool = False) -> DataFrame:
     it is not for one that ends with its input.
     """
     read = frames.withColumn("e", F.pandas_udf(_events, EVENT)("data")).select("stream_id", "seq", F.col("e.index").alias("index_"), "e.action", "e.kind", "e.part", F.coalesce("event", F.lit("")).alias("event"), F.coalesce("data", F.lit("")).alias("data"))
-    return read.groupBy("stream_id").applyInPandasWithState(
-        lambda key, rows, state: _blocks(key, rows, state, timed), CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    by = F.col("stream_id") if timed else F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS))
+    return read.withColumn("bucket", by).groupBy("bucket").applyInPandasWithState(
+        lambda key, rows, state: _blocks(rows, state, timed), CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timed else GroupStateTimeout.NoTimeout
     )
 
 
@@ -243,7 +257,11 @@ def restore_stream(redactor, frames: DataFrame, sink: str, checkpoint: str, time
     """Starts a query that re-chunks and restores frames and writes them batch by batch; a batch that runs again overwrites its own."""
 
     def batch(df: DataFrame, n: int) -> None:
-        restored_frames(redactor, df).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        df = df.persist()  # it is read thrice, and each time all of its streams would be re-chunked
+        try:
+            restored_frames(redactor, df).write.mode("overwrite").parquet(f"{sink}/batch={n}")
+        finally:
+            df.unpersist()
 
     return rechunk(frames, timed).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch)
 

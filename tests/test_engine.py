@@ -348,6 +348,19 @@ def test_restored_stream(spark, tmp_path, vault):
     assert [e for e in out if e["type"] == "content_block_start"][3]["content_block"]["text"] == ""
 
 
+def test_many_short_streams_share_their_calls(spark, tmp_path):
+    """State, and with it a call of Python, is kept for a bucket of streams: 5,000 streams make no 5,000 calls a batch."""
+    (tmp_path / "in").mkdir()
+    lines = [x for s in range(5000) for x in numbered(f"s{s}", [*frames(f"no {s}", 9), {"type": "message_stop"}])]
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines[k::2]))
+    query = sse.rechunk(stream_of(spark, tmp_path / "in")).writeStream.format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= sse.BUCKETS < 5000
+    got = {r.stream_id: (r.text, r.n) for r in spark.table("many").groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda x: x["text"]), "").alias("text"), F.count_if(F.col("kind") == "frame").alias("n")).collect()}
+    assert got == {f"s{s}": (f"no {s}", 3) for s in range(5000)}
+
+
 def test_gaps_and_limits(monkeypatch):
     frame = lambda seq, event: (seq, *(lambda e: (e[0], e[1], e[2], e[3]))(sse.read_event(json.dumps(event))), event["type"], json.dumps(event))
     events = [*frames("one two three", 4)]
