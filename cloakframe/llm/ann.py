@@ -2,8 +2,9 @@
 
 Each of TABLES tables has its own pseudo-rotation (three rounds of random signs and a fast Hadamard transform). A vector
 goes to the bucket of the signed axis nearest to its rotated image; a query looks into the buckets of its nearest
-``probes`` signed axes, a sixteenth of an axis count. In bands of PAIRS_FROM vectors and more a bucket is divided by a
-second rotation's nearest axis, and a query looks into the PAIRS best pairs of axes, by the sum of both.
+``probes`` signed axes: 3 of 64, LEAST at least, whatever the number of vectors. A caller may have a bucket divided by a
+second rotation's nearest axis, from ``pairs_from`` vectors of a band on; a query then looks into the ``pairs`` best pairs of
+axes, by the sum of both. By default no way is chosen by the input's size.
 
 Buckets are joined in place: a task multiplies a bucket's queries with its vectors block by block and passes on each query's
 best ones only, so pairs are never written. Scores are exact inner products in double precision, summed in the same order for
@@ -13,12 +14,12 @@ part of the one meets each of the other, and a task holds a part of the vectors
 
 Vectors are searched in bands of length: from each band's longest vector down to 1/BAND of it, counted from the longest of
 its dimension. In a band of unequal lengths vectors get one more coordinate that makes them equally long (queries get a zero there),
-which turns the largest inner product into the nearest direction. A query looks into all bands, and a band of EXACT vectors
-or fewer is one bucket, searched whole. Queries that have found fewer than k candidates are answered again by all vectors.
-Nothing is fitted, and every vector is indexed.
+which turns the largest inner product into the nearest direction. A query looks into all bands; if a caller asks for it, a band
+of ``exact`` vectors or fewer is one bucket, searched whole. Queries that have found fewer than k candidates are answered
+again by all vectors. Nothing is fitted, and every vector is indexed.
 
-Measured against brute force (64 dimensions without any direction, the hardest case; queries as op3 asks): 0.97 of the
-nearest 20 found among 10,256 vectors, of which a query met 0.42; with pairs of axes 0.98 and 0.24.
+Measured against brute force (64 dimensions without any direction, the hardest case; queries as op3 asks): 0.993 of the
+nearest 20 found among 10,256 vectors, of which a query met 0.54; among 500 vectors 0.96 and 0.55.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part. Vectors of each
 dimension are searched by the queries of that dimension; their lengths are taken by logarithms, so none is too large. An
@@ -43,8 +44,8 @@ from .common import written
 
 TABLES = 20
 CAP, ASKED = 50_000, 50_000
-BAND, EXACT = 2, 4000
-PAIRS_FROM, PAIRS, NEAR = 2_000_000, 200, 32  # NEAR: axes of each rotation that pairs are made of
+BAND, LEAST = 2, 4
+PAIRS, NEAR = 200, 32  # NEAR: axes of each rotation that pairs are made of
 SEED = 7
 BLOCK = 2048
 
@@ -197,7 +198,7 @@ def same_key(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator
 
 def nearest(
     vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = TABLES, probes: int | None = None,
-    cap: int = CAP, asked: int = ASKED, exact: int = EXACT, pairs_from: int = PAIRS_FROM, pairs: int = PAIRS,
+    cap: int = CAP, asked: int = ASKED, exact: int = 0, pairs_from: int | None = None, pairs: int = PAIRS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each row of ``vectors`` that meets the condition ``queries`` (on column id)."""
     spark = vectors.sparkSession
@@ -213,7 +214,7 @@ def nearest(
     rows = rows.withColumn("band", F.floor((F.col("longest") + 1e-6 - F.col("norm")) / math.log(BAND)).cast("int"))
     shapes = rows.groupBy("dim", "band").agg(F.max("norm").alias("longest"), F.min("norm").alias("shortest"), F.count(F.lit(1)).alias("n")).collect()
     groups = {
-        (r["dim"], r["band"]): (g, r["longest"], r["shortest"] < r["longest"] - 1e-6, r["n"] <= exact, r["n"] >= pairs_from) for g, r in enumerate(sorted(shapes))
+        (r["dim"], r["band"]): (g, r["longest"], r["shortest"] < r["longest"] - 1e-6, r["n"] <= exact, pairs_from is not None and r["n"] >= pairs_from) for g, r in enumerate(sorted(shapes))
     }
 
     def keyed(point: bool, whole_rows: bool):
@@ -237,7 +238,7 @@ def nearest(
                                 take = np.repeat(np.arange(len(held)), [len(f) for f in found])
                                 axis, second = np.array([a for f in found for a in f]), pa.array([w for f in found for w in f.values()], pa.list_(pa.int32()))
                             else:
-                                axes = np.zeros((len(held), 1), int) if whole else buckets(x, table, 1 if point else probes or max(1, 2 * n // 32))
+                                axes = np.zeros((len(held), 1), int) if whole else buckets(x, table, 1 if point else probes or max(LEAST, 3 * n // 32))
                                 take, axis = np.repeat(np.arange(len(held)), axes.shape[1]), axes.ravel()
                                 seconds = nearest_of(ends(x, TABLES_END - table), 1) if two and not whole else np.zeros((len(axis), 1), int)
                                 second = pa.array(list(seconds.astype(np.int32)), pa.list_(pa.int32()))

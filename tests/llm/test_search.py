@@ -164,6 +164,20 @@ def test_recall_at_64_dimensions(spark, two):
     assert sum(len(set(have[50 * q]) & set(np.argsort(-s[q])[:20].tolist())) for q in range(100)) / 2000 >= 0.9
 
 
+def test_the_way_does_not_depend_on_the_size(spark):
+    """Vectors that are nobody's neighbours, however many, change no result."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6000, 64))
+    x[:, 0] = 0
+    x *= 0.8 / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[:, 0] = np.where(np.arange(6000) < 2500, 0.6, -0.6)
+    got = []
+    for n in (2500, 6000):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        got.append(sorted(map(tuple, ann.nearest(df, lambda i: (i % 50 == 0) & (i < 2500)).collect())))
+    assert got[0] == got[1] and len(got[0]) == 1000
+
+
 def test_lengths_that_overflow(spark):
     """A vector whose squared length is no double takes part like any other."""
     r = np.random.default_rng(7)
