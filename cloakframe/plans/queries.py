@@ -521,11 +521,11 @@ def json_roundtrip_bodies(spark, sf_dir):
 # -- there and back ---------------------------------------------------------------------------------------------------
 
 
-def tokenized(spark, sf_dir, name: str, choose: str = "CASE WHEN c_custkey % 3 = 0 THEN {stays} ELSE {value} END"):
+def tokenized(spark, sf_dir, name: str, choose: str = "CASE WHEN c_custkey % 3 = 0 THEN {stays} ELSE {value} END", rules: Compiled | None = None):
     before, value, stays, after = PLANTS[name]
     text = expression(f"{before} || {choose.replace('{stays}', stays).replace('{value}', value)} || {after}", False)
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text"))
-    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT))
+    redactor = Redactor(spark, Vault(spark, shared_path(spark, "vault"), salt=SALT), rules)
     return redactor, redactor.tokenize(rows, "c_custkey", "text")
 
 
@@ -622,8 +622,9 @@ SECRET = f"'pw-' || {expression('substr({H}, 1, 12)', True)}"
 
 @query("known_values", f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'so ' || {token_sql('password', SECRET, 24)} || '!' ELSE 'so x' || {SECRET} END AS text FROM customer")
 def known_values(spark, sf_dir):
-    """A value that only its label gave away is found without it in a later batch, where it stands alone."""
-    redactor, _ = tokenized(spark, sf_dir, "secrets.password", "CASE WHEN false THEN {stays} ELSE {value} END")
+    """A value that only its label gave away is found without it in a later batch, where it stands alone. No other detector
+    is at work: some of the planted texts hold twelve digits that pass for an Aadhaar number."""
+    redactor, _ = tokenized(spark, sf_dir, "secrets.password", "CASE WHEN false THEN {stays} ELSE {value} END", only("secrets.password"))
     text = expression("CASE WHEN c_custkey % 2 = 0 THEN 'so pw-' || substr({H}, 1, 12) || '!' ELSE 'so xpw-' || substr({H}, 1, 12) END", False)
     return redactor.tokenize(table(spark, sf_dir, "customer").select("c_custkey", F.expr(text).alias("text")), "c_custkey", "text").rows
 

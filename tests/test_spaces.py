@@ -33,3 +33,10 @@ def test_digits_behind_a_short_placeholder():
     real = {"555-1234": "+44207946000", "555-1234567890": "+44207946111"}
     assert formats.restore("+44-555-1234567890 +44-555-12345678 +44-555-1234 +44-555-1234999999", real) == "+44207946111 +442079460005678 +44207946000 +44207946000999999"
     assert entities.placeholder("intl_phone", "x", attempt=entities.WIDE_FROM) in formats.candidates(f"+44-{entities.placeholder('intl_phone', 'x', attempt=entities.WIDE_FROM)}")
+
+
+def test_known_values_beside_other_detectors(spark, tmp_path):
+    """Key 1613's secret holds twelve digits with a valid check digit; its text stays, as the query's SQL says."""
+    spark.createDataFrame([(1613,), (1614,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_custkey: r.text for r in QUERIES["known_values"](spark, str(tmp_path)).collect()}
+    assert got[1613] == "so xpw-963826088133" and got[1614].startswith("so FAKE-PASSWORD-")
