@@ -33,7 +33,6 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -452,11 +451,11 @@ def write_ids(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     freq, kind = table.freq.astype(np.int64), id_type(size)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, own = TaskContext.get().partitionId(), Table(freq)
-        name = posixpath.join(base, f"part-{part:06d}.rans")
         first = next((x for x in batches if len(x)), None)
         if first is None:
             return
+        part, own = first.column("part")[0].as_py(), Table(freq)
+        name = posixpath.join(base, f"part-{part:06d}.rans")
         names, counts, total = [], [], 0
 
         def whole(out) -> None:
@@ -476,7 +475,9 @@ def write_ids(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
 
     # Rows of one id, even with the same ids, need not be in one task: the head of their ids and their places deal them too.
     keyed = rows.withColumn("head", F.substring("ids", 1, HEAD)).withColumn("row", F.monotonically_increasing_id())
-    dealt = keyed.repartitionByRange("id", "head", "row").sortWithinPartitions("id", "ids").select("id", "ids")
+    dealt = keyed.repartitionByRange("id", "head", "row").sortWithinPartitions("id", "ids")
+    # The range's number: a task that writes several ranges has one of its own, which tells neither their files nor their order.
+    dealt = dealt.select("id", "ids", F.spark_partition_id().alias("part"))
     return written(dealt.mapInArrow(write, "part long, file string, docs long, ids long"), "token-files"), freq
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cloakframe.llm import bpe, queries, rans
+from cloakframe.llm import bpe, common, queries, rans
 from cloakframe.llm.simhash import fingerprint
 
 WORDS = {"en": ["the", "and", "with", "think", "where", "ing"], "de": ["der", "und", "nicht", "straße", "über", "ein"], "fr": ["les", "être", "où", "ça", "dans", "avec"]}
@@ -91,6 +91,26 @@ def test_coders_agree_with_the_library(results, tables):
     assert sorted(map(tuple, results["op8_token_files"].collect())) == want
 
 
+def test_token_files_of_more_ranges_than_tasks(spark, tables, monkeypatch):
+    """A task that writes several ranges of ids loses none of their files, and the files follow each other in the order of ids."""
+    monkeypatch.setattr(common, "FILES", 1)
+    changed = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, queries.queries()["op8_token_files"](spark, tables[0]).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    library, want, start = Tokenizer.from_file(rans.production_path()), [], 0
+    for i, t, _, _ in sorted(tables[1]):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_groups_and_shards(results, tables):
     docs = tables[1]
     fps = {i: fingerprint((t or "").encode()) for i, t, _, _ in docs}
