@@ -52,8 +52,8 @@ def mask(text: Column, rules: Compiled, only_block: bool = False) -> Column:
 
 
 def scan(text: Column, rules: Compiled, only_block: bool = False) -> Column:
-    """struct(dets, marks, standing, error) of each text: detections, placeholders that stand in it, those of the small
-    spaces that stand in it by whatever chance, and why it is rejected. Texts that no detector needs don't go to Python."""
+    """struct(dets, marks, standing, error) of each text: detections, placeholders that stand in it, those of networks
+    and small spaces that stand in it by whatever chance, and why it is rejected. Texts that no detector needs don't go to Python."""
     extra = tuple(REGISTERED.values())
 
     def each(texts: pd.Series, masks: pd.Series) -> pd.DataFrame:
@@ -85,7 +85,7 @@ def may_restore(text: Column) -> Column:
     """Whether a text can hold a placeholder, natively: by the texts that placeholders of each entity hold."""
     held = [F.contains(text, F.lit(marker(e))) for e in SHAPES if e not in ("domain", *EITHER_CASE)]
     held += [F.contains(F.lower(text), F.lit(marker(e).lower())) for e in EITHER_CASE]
-    held += [F.contains(text, F.lit(x)) for x in ("198.18.", "198.19.", "240.", "fd00:c0de:")]
+    held += [F.contains(text, F.lit(x)) for x in formats.NETWORK_MARKS]
     return _any([text.rlike(shape_pattern("domain")), *held])
 
 

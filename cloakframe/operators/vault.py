@@ -12,7 +12,7 @@ an existing target, as that of HDFS does.
 
 A value has one placeholder whatever entity asks for it. Removing a value writes a tombstone: its placeholder no longer
 restores, stays protected from being detected, and the value gets a new one when it is seen again. Entries without a value
-are placeholders of small spaces that stood in texts by chance: they are taken and never restore.
+are placeholders of networks and small spaces that stood in texts by chance: they are taken and never restore.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import re
 import secrets
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.entities import COUNTED, ENTITIES, LABEL_ONLY, SHAPES, SMALL, placeholder_column
@@ -187,7 +187,7 @@ class Vault:
         """(real, token) of all ``wanted`` (real, entity_type, place): known ones from the vault, new ones minted and kept.
 
         ``place`` orders first sights; of entities that want the same value the first one's shape is taken. ``standing``
-        (token): small placeholders that stand in the texts; they are taken from now on. A batch that runs again finds all its
+        (token): placeholders of networks and small spaces that stand in the texts; they are taken from now on. A batch that runs again finds all its
         values known, so it mints nothing; ``name`` tells it among the batches.
         """
         first = wanted.groupBy("real").agg(F.min_by("entity_type", "place").alias("entity_type"), F.min("place").alias("place"))
@@ -257,24 +257,45 @@ class Vault:
             out = out.unionByName(new.join(minted, "real").select(*out.columns))
         for e in COUNTED:
             if e in kinds:
-                out = out.unionByName(self._counted(new.where(F.col("entity_type") == e), e, kinds[e], history).select(*out.columns))
+                out = out.unionByName(self._counted(new.where(F.col("entity_type") == e), e, kinds[e], taken, history).select(*out.columns))
         return out
 
-    def _counted(self, new: DataFrame, entity: str, count: int, history: DataFrame) -> DataFrame:
-        """Networks take the next numbers in the order of their first sight; numbers are never used again."""
+    def _counted(self, new: DataFrame, entity: str, count: int, taken: DataFrame, history: DataFrame) -> DataFrame:
+        """Networks take the next numbers in the order of their first sight; numbers are never used again, and those whose
+        placeholder is in ``taken`` (token) are left out."""
         used = history.where(F.col("entity_type") == entity).agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("n")).first()["n"]
         room = (512 + 65536 * self.extended) if entity == "ip_network" else 1 << 32
-        if used + count > room:
+        slots = taken.select("token", network_number(entity, F.col("token")).alias("seq")).where((F.col("seq") >= used) & (F.col("seq") < room))
+        slots = slots.where(network_token(entity, F.col("seq")) == F.col("token")).select("seq").distinct()
+        left_out = slots.count()
+        if used + count + left_out > room:
             raise VaultFull(f"{entity}: {room} placeholders are all there are")
-        n = F.col("seq")
-        rows = numbered(new, ["place", "real"], posixpath.join(self.base, "minting", uuid.uuid4().hex)).withColumn("seq", F.col("n") + used).drop("n")
-        if entity == "ip_network":
-            token = F.when(n < 512, F.concat(F.lit("198."), (18 + F.floor(n / 256)).cast("string"), F.lit("."), (n % 256).cast("string")))
-            token = token.otherwise(F.concat(F.lit("240."), F.floor((n - 512) / 256).cast("string"), F.lit("."), ((n - 512) % 256).cast("string")))
+        fresh = lambda: posixpath.join(self.base, "minting", uuid.uuid4().hex)
+        rows = numbered(new, ["place", "real"], fresh())
+        if left_out:
+            free = self.spark.range(used, used + count + left_out).select(F.col("id").alias("free")).join(slots, F.col("free") == F.col("seq"), "left_anti")
+            rows = rows.drop("seq").join(numbered(free, ["free"], fresh()).withColumnRenamed("free", "seq"), "n").drop("n")
         else:
-            part = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
-            token = F.concat(F.lit("fd00:c0de:"), part(F.shiftright(n, 16)), F.lit(":"), part(n.bitwiseAND(0xFFFF)))
-        return rows.withColumn("token", token)
+            rows = rows.withColumn("seq", F.col("n") + used).drop("n")
+        return rows.withColumn("token", network_token(entity, F.col("seq")))
+
+
+def network_token(entity: str, n: Column) -> Column:
+    """The placeholder of the n-th network."""
+    if entity == "ip_network":
+        token = F.when(n < 512, F.concat(F.lit("198."), (18 + F.floor(n / 256)).cast("string"), F.lit("."), (n % 256).cast("string")))
+        return token.otherwise(F.concat(F.lit("240."), F.floor((n - 512) / 256).cast("string"), F.lit("."), ((n - 512) % 256).cast("string")))
+    part = lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))
+    return F.concat(F.lit("fd00:c0de:"), part(F.shiftright(n, 16)), F.lit(":"), part(n.bitwiseAND(0xFFFF)))
+
+
+def network_number(entity: str, token: Column) -> Column:
+    """The number of a network's placeholder; null or any other number for what isn't one."""
+    if entity == "ip_network":
+        a, b, c = (F.get(F.split(token, r"\."), F.lit(k)).try_cast("long") for k in range(3))
+        return F.when(a == 198, (b - 18) * 256 + c).when(a == 240, 512 + b * 256 + c)
+    high, low = (F.conv(F.regexp_extract(token, "^fd00:c0de:([0-9a-f]{4}):([0-9a-f]{4})$", k), 16, 10).try_cast("long") for k in (1, 2))
+    return high * 65536 + low
 
 
 def numbered(rows: DataFrame, order: list[str], path: str) -> DataFrame:

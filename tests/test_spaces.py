@@ -17,6 +17,31 @@ def test_whole_tables_of_many_networks(spark, tmp_path, name, key, text):
     assert sorted(map(tuple, QUERIES[f"roundtrip_{name}"](spark, str(tmp_path)).collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_networks_that_look_like_placeholders(spark, tmp_path):
+    """A made-up address that stands in a text is no network's placeholder, so it is itself when all come back."""
+    made = ["198.18.7.1", "198.19.255.2", "240.0.3.4", "240.0.5.6", "240.9.9.9", "198.18.300.1"]
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("concat('up 10.', id div 200, '.', id % 200, '.7')").alias("text"))
+    rows = rows.union(spark.createDataFrame([(1000 + k, f"at {x}") for k, x in enumerate(made)], "doc_id long, text string")).coalesce(2)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["roundtrip_documents"](spark, str(tmp_path)).collect())) == sorted(map(tuple, rows.collect()))
+    vault = Vault(spark, f"file://{tmp_path}/vault", extended=True)
+    redactor = Redactor(spark, vault)
+    first = redactor.tokenize(rows.where("doc_id < 100 or doc_id >= 1000"), "doc_id", "text").rows.cache()
+    second = redactor.tokenize(rows.where("doc_id < 600"), "doc_id", "text").rows.cache()
+    for done in (first, second):
+        assert redactor.detokenize(done, "text").exceptAll(rows).count() == 0
+    slots = [r.seq for r in vault.entries().collect()]
+    assert sorted(slots) == [n for n in range(604) if n not in (7, 511, 515, 517)] and second.count() == 600
+
+
+def test_networks_of_six_that_look_like_placeholders(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"at 2600:a{k:03x}::1") for k in range(5)] + [(9, "at fd00:c0de:0:2::1 and fd00:c0de::7")], "id long, text string")
+    redactor = Redactor(spark, Vault(spark, f"file://{tmp_path}"))
+    done = redactor.tokenize(rows, "id", "text").rows.cache()
+    assert redactor.detokenize(done, "text").exceptAll(rows).count() == 0
+    assert sorted(r.seq for r in redactor.vault.entries().collect()) == [1, 3, 4, 5, 6]
+
+
 def test_more_numbers_abroad_than_short_placeholders(spark, tmp_path):
     """10,000 numbers don't fit into 9,900 short placeholders beside what stands in the texts: the rest get longer ones."""
     rows = spark.range(10_000).select("id", F.expr("concat('+44 20 7946 ', lpad(id, 4, '0'), ' or +1-555-12', lpad(id % 100, 2, '0'), ' or +1-555-1234567890')").alias("text"))
